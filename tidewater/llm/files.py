@@ -14,7 +14,7 @@ def open_out(uri: str):
     retried task never meets what a lost one left."""
     system, path = _fs(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_in(uri: str):

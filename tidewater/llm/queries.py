@@ -8,6 +8,7 @@ import importlib
 QUERIES = {
     "op3_benchmark_decontamination": "decontam",
     "op4_mix_sources": "mixing",
+    "op7_warc": "warc",
     "op10_token_binary": "tokens",
 }
 

@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module that has it
 QUERIES = {
+    "op1_chat_format": "chat",
     "op3_benchmark_decontamination": "decontam",
     "op4_mix_sources": "mixing",
     "op7_warc": "warc",

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_chat_format": "chat",
     "op3_benchmark_decontamination": "decontam",
     "op4_mix_sources": "mixing",
+    "op5_pii": "pii",
     "op6_toxicity": "toxicity",
     "op7_warc": "warc",
     "op10_token_binary": "tokens",

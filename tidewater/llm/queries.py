@@ -7,6 +7,7 @@ import importlib
 #: query -> module that has it
 QUERIES = {
     "op1_chat_format": "chat",
+    "op2_ngram_jaccard": "ngram_join",
     "op3_benchmark_decontamination": "decontam",
     "op4_mix_sources": "mixing",
     "op5_pii": "pii",

@@ -13,6 +13,7 @@ QUERIES = {
     "op5_pii": "pii",
     "op6_toxicity": "toxicity",
     "op7_warc": "warc",
+    "op9_embedding_dedup": "embedding",
     "op10_token_binary": "tokens",
 }
 

@@ -53,4 +53,5 @@ def test_odd_rows(spark):
     model = toxicity.fit(docs, labels)
     assert toxicity.score_ids(docs, model).count() == 4
     assert toxicity.score_ids(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).collect() == []
-    assert toxicity.score(docs.drop("score"), model).columns == ["doc_id", "text", "score"]
+    kept = toxicity.clean(docs, model)
+    assert kept.schema == docs.schema and kept.count() == 4

@@ -14,6 +14,8 @@ columns are ignored; empty tables give no rows, or rows without hits.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +55,7 @@ def windows(items: list[tuple[str | None, str | None]], n: int) -> dict[str, lis
     return {k: sorted(v) for k, v in found.items()}
 
 
-_built: dict[int, tuple] = {}
+_built: dict = {}
 
 
 def _automaton(shared):
@@ -153,6 +155,30 @@ def _chained(*steps):
     return run
 
 
+def _free(shared):
+    def run(batches):
+        auto = _automaton(shared)
+        for batch in batches:
+            clear = []
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                clear.append(not (w and len(auto)) or next(auto.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is None)
+            yield batch.select(range(1, batch.num_columns)).filter(pa.array(clear, pa.bool_()))
+
+    return run
+
+
+def _passes(spark: SparkSession, benchmark: DataFrame, n: int, pass_chars: int) -> list:
+    """Broadcast windows, one for each hash share of about ``pass_chars`` characters of items."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    count, out = max(1, -(-int(total) // pass_chars)), []
+    for k in range(count):
+        share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
+        out.append(_Shared(spark.sparkContext.broadcast(windows([tuple(r) for r in share.toLocalIterator()], n)), uuid.uuid4().hex))
+    return out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_chars: int = PASS_CHARS) -> DataFrame:
     """Per document: words, words inside any window, items found, spans in the original.
 
@@ -160,22 +186,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_chars
     a hash share of the items of about ``pass_chars`` characters, so what is collected
     and broadcast is bounded however large the benchmark is. No shuffle of documents.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) // pass_chars))
-    steps = []
-    for k in range(passes):
-        share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        found = windows([tuple(r) for r in share.toLocalIterator()], n)
-        b = spark.sparkContext.broadcast(found)
-        steps.append(_scan(_Shared(b, f"{spark.sparkContext.applicationId}-{b._jbroadcast.id()}" if b._jbroadcast is not None else id(b))))
+    steps = [_scan(shared) for shared in _passes(docs.sparkSession, benchmark, n, pass_chars)]
     cur = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for step in steps[:-1]:
         cur = cur.mapInArrow(step, "doc_id long, text string, n_words long, hits array<long>, items array<string>")
     return cur.mapInArrow(_chained(steps[-1], _finish), _OUT)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, with all their columns; no shuffle."""
+    cur = docs
+    for shared in _passes(docs.sparkSession, benchmark, n, pass_chars):
+        cur = cur.select(F.col("text").cast("string").alias("text__"), *cur.columns).mapInArrow(_free(shared), docs.schema)
+    return cur
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -13,6 +13,7 @@ QUERIES = {
     "op5_pii": "pii",
     "op6_toxicity": "toxicity",
     "op7_warc": "warc",
+    "op8_line_dedup": "line_dedup",
     "op9_embedding_dedup": "embedding",
     "op10_token_binary": "tokens",
 }
@@ -23,4 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .line_dedup import ORACLE
+
+    return {"op8_line_dedup": ORACLE}

@@ -23,6 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ class Scorer:
 _scorers: dict[str, Scorer] = {}
 
 
-def _scoring(key: str, model):
+def _scoring(key: str, model, name: str = "score__"):
     def run(batches):
         if key not in _scorers:
             _scorers.clear()
@@ -186,7 +187,7 @@ def _scoring(key: str, model):
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 scores = scorer.scores(some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(scores, pa.float64())], names=[*some.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(scores, pa.float64())], names=[*some.schema.names[1:], name])
 
     return run
 
@@ -210,19 +211,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with doc_id, the other columns as they are, and ``score``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col("text").cast("string").alias("text_"), *docs.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return rows.mapInArrow(_scoring(uuid.uuid4().hex, shared), schema)
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scoring, column = _scoring(uuid.uuid4().hex, shared), "text__"
+
+    def run(batches):
+        for batch in scoring(batches):
+            yield batch.filter(pc.less(batch.column(batch.num_columns - 1), threshold)).select(batch.schema.names[:-1])
+
+    return docs.select(F.col("text").cast("string").alias(column), *docs.columns).mapInArrow(run, docs.schema)
 
 
 def score_ids(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """(doc_id, score) of each row of ``docs``; the text does not come back from the workers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_scoring(uuid.uuid4().hex, shared), "doc_id long, score double")
+    return docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(_scoring(uuid.uuid4().hex, shared, "score"), "doc_id long, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,10 @@ MAGIC = b"TWRANS1\n"
 #: Ids after which a shard is closed.
 SHARD_IDS = 4_000_000
 #: Distinct chunks that a worker remembers before it starts anew.
-CACHE = 600_000
+CACHE = 1_000_000
 END_ID = 1
+_ENDS = b",.!?;:"
+_END_CHUNKS = [_ENDS[k : k + 1] for k in range(len(_ENDS))]
 
 
 class Encoder:
@@ -54,23 +56,46 @@ class Encoder:
             spec = json.load(f)
         kinds = json.dumps(spec.get("normalizer") or {}) + json.dumps(spec.get("pre_tokenizer") or {})
         self.chunked = '"Lowercase"' in kinds and '"Removed"' in kinds and '"add_prefix_space": false' in kinds
-        added = [t for t in spec.get("added_tokens", []) if t["special"] and not t["normalized"] and t["content"].isascii()]
         self.marks = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
-        self.sep = (added[0]["content"], added[0]["id"]) if added else None
-        self.chunked = self.chunked and self.sep is not None
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.chunked = self.chunked and bool(suffix)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        sep, mark = self.sep
-        for k in range(0, len(chunks), 4096):
-            part = chunks[k : k + 4096]
-            ids = np.array(self.tok.encode_batch_fast([sep.join(c.decode() for c in part)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.concatenate(([-1], np.flatnonzero(ids == mark), [len(ids)]))
-            if len(cut) != len(part) + 1:
-                raise ValueError("the tokenizer did not keep the separator")
-            raw = ids.tobytes()
-            for c, a, b in zip(part, cut[:-1] + 1, cut[1:]):
-                self.known[c] = raw[4 * a : 4 * b]
+        """A chunk that ends in one mark after a letter has the ids of its two pieces, which
+        the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once."""
+        marked = [c for c in chunks if c[-1] in _ENDS and c[-2:-1].isalpha()]
+        known = self.known
+        self._code(list({c[:-1] for c in marked}.union(chunks, _END_CHUNKS).difference(marked, known)))
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1:]]
+
+    def _code(self, chunks: list[bytes]) -> None:
+        """Words of letters go to the library joined by spaces: each has one id that ends a
+        word. A group that has another number of such ids is coded chunk by chunk."""
+        texts = [c.decode() for c in chunks]
+        single = [k for k, t in enumerate(texts) if not t.isalpha()]
+        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        for a in range(0, len(words), 2048):
+            groups = [words[k : k + 32] for k in range(a, min(a + 2048, len(words)), 32)]
+            found = self.tok.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found):
+                ids = np.array(e.ids, np.uint32)
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) != len(group) or cut[-1] != len(ids):
+                    single += group
+                    continue
+                raw, at = ids.tobytes(), 0
+                for k, b in zip(group, cut.tolist()):
+                    self.known[chunks[k]] = raw[4 * at : 4 * b]
+                    at = b
+        for a in range(0, len(single), 2048):
+            part = single[a : a + 2048]
+            for k, e in zip(part, self.tok.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                self.known[chunks[k]] = np.array(e.ids, np.uint32).tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .statements import ORACLE
+
 #: query -> module that has it
 QUERIES = {
     "op1_chat_format": "chat",
@@ -24,6 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .line_dedup import ORACLE
-
-    return {"op8_line_dedup": ORACLE}
+    return dict(ORACLE)

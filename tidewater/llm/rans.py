@@ -19,7 +19,12 @@ _MASK = np.uint64((1 << BITS) - 1)
 
 def table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct ids and frequencies of at least 1 that add up to 2**BITS."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < 1 << 22:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     if not len(symbols):
         return symbols.astype(np.uint32), counts.astype(np.uint32)
     if len(symbols) > 1 << (BITS - 1):
@@ -42,12 +47,16 @@ class Coder:
         self.symbols, self.freq = symbols, freq.astype(np.uint64)
         self.start = np.concatenate(([0], np.cumsum(freq, dtype=np.uint64)[:-1])).astype(np.uint64) if len(freq) else np.zeros(0, np.uint64)
         self.slots = None
+        self.place = None
+        if len(symbols) and symbols[-1] < 1 << 22:
+            self.place = np.zeros(int(symbols[-1]) + 1, np.uint32)
+            self.place[symbols] = np.arange(len(symbols), dtype=np.uint32)
 
     def encode(self, ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         """(lanes, final states, words in the order in which decoding reads them)."""
         n = len(ids)
         lanes = int(min(LANES, max(1, n // 64)))
-        at = np.searchsorted(self.symbols, ids)
+        at = np.searchsorted(self.symbols, ids) if self.place is None else self.place[ids]
         freq, start = self.freq[at], self.start[at]
         limit = freq << np.uint64(31 - BITS + 32)
         state = np.full(lanes, _LOW, np.uint64)

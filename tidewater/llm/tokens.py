@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import uuid
 import zlib
 
@@ -35,8 +36,7 @@ SHARD_IDS = 4_000_000
 #: Distinct chunks that a worker remembers before it starts anew.
 CACHE = 1_000_000
 END_ID = 1
-_ENDS = b",.!?;:"
-_END_CHUNKS = [_ENDS[k : k + 1] for k in range(len(_ENDS))]
+_MARKS = string.punctuation.encode()
 
 
 class Encoder:
@@ -65,13 +65,21 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """A chunk that ends in one mark after a letter has the ids of its two pieces, which
-        the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once."""
-        marked = [c for c in chunks if c[-1] in _ENDS and c[-2:-1].isalpha()]
+        """A chunk that ends in ASCII marks after a letter or digit has the ids of its two pieces,
+        which the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once.
+        Letters are taken from the Latin blocks only, where all versions of Unicode agree."""
+        marked, need = [], set()
+        for c in chunks:
+            base = c.rstrip(_MARKS)
+            if base and len(base) < len(c) and (base[-1:].isalnum() or (b"\xc3" <= base[-2:-1] <= b"\xc9" and base[-2:].decode().isalpha())):
+                marked.append((c, base))
+                need.update((base, c[len(base) :]))
+            else:
+                need.add(c)
         known = self.known
-        self._code(list({c[:-1] for c in marked}.union(chunks, _END_CHUNKS).difference(marked, known)))
-        for c in marked:
-            known[c] = known[c[:-1]] + known[c[-1:]]
+        self._code([c for c in need if c not in known])
+        for c, base in marked:
+            known[c] = known[base] + known[c[len(base) :]]
 
     def _code(self, chunks: list[bytes]) -> None:
         """Words of letters go to the library joined by spaces: each has one id that ends a

@@ -136,3 +136,19 @@ def test_broker_options():
     for bad in (dict(), dict(topic="t", startup="never"), dict(topic="t", startup="timestamp"), dict(topic="t", startup="specific-offsets", offsets="partition:x")):
         with pytest.raises(ValueError):
             connectors.BrokerOptions("h:1", **bad).options()
+
+
+def test_connected_streams_and_refreshed_dimension(spark, stream, tmp_path):
+    rows = batch(spark)
+    config = rows.where("behavior = 'signup'").select("user_id", "ts", F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("value"))
+    config.coalesce(1).write.parquet(str(tmp_path / "config"))
+    side = connectors.replay(spark, str(tmp_path / "config"), config.schema)
+    both = jobs.connected(stream.where("behavior = 'view'").select("user_id", "event_id", "ts"), side, "user_id", "value")
+    p = processors.LatestConfig("none")
+    jobs.run_available(both.groupBy("user_id").transformWithState(p, p.OUTPUT, "Update", "None"), str(tmp_path / "c1"), "configured", mode="update")
+    assert spark.table("configured").count() == rows.where("behavior = 'view'").count()
+    sink = sinks.once(str(tmp_path / "looked"))
+    dim = lambda s: s.read.parquet(f"{DIR}/customer.parquet")
+    write = jobs.refreshed_lookup(dim, "user_id", "c_custkey", "c_name", "0000", "name", sink)
+    jobs.run_available(stream.select("event_id", "user_id"), str(tmp_path / "c2"), foreach=write)
+    assert spark.read.parquet(str(tmp_path / "looked")).count() == rows.count()

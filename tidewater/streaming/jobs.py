@@ -43,3 +43,22 @@ def run_available(df: DataFrame, checkpoint: str, name: str | None = None, mode:
     query = (writer.foreachBatch(foreach) if foreach else writer.format("memory").queryName(name)).start()
     query.awaitTermination()
     return query
+
+
+def refreshed_lookup(load_dim, key: str, dim_key: str, value: str, miss: str, name: str, sink):
+    """A foreachBatch function: the dimension is read anew for each batch, then looked up with a default.
+
+    ``load_dim(spark)`` reads the table, ``sink(batch, batch_id)`` takes the result."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sink(joins.lookup(batch, load_dim(batch.sparkSession), key, dim_key, value, F.lit(miss), name), batch_id)
+
+    return write
+
+
+def connected(data: DataFrame, config: DataFrame, key: str, value: str) -> DataFrame:
+    """Two streams as one, tagged: config rows carry ``value``, data rows the columns of ``data``."""
+    rest = [c for c in data.columns if c != key]
+    left = data.select(key, F.struct(*rest).alias("data"), F.lit(None).cast("string").alias("config"), "ts")
+    right = config.select(key, F.lit(None).cast(left.schema["data"].dataType).alias("data"), F.col(value).cast("string").alias("config"), "ts")
+    return left.unionByName(right)

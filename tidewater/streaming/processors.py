@@ -143,3 +143,29 @@ class FirstSeen(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class LatestConfig(StatefulProcessor):
+    """For tagged rows of two streams (``jobs.connected``): each data row with the key's config that
+    came last before it, or the default."""
+
+    OUTPUT = "key string, event_id long, config string"
+
+    def __init__(self, default: str):
+        self.default = default
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.config = handle.getValueState("config", "value string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = self.config.get()[0] if self.config.exists() else None
+        for row in sorted(rows, key=lambda r: (r.ts, r.data is not None)):
+            if row.data is None:
+                now = row.config
+            else:
+                yield Row(key=str(key[0]), event_id=row.data["event_id"], config=self.default if now is None else now)
+        if now is not None:
+            self.config.update((now,))
+
+    def close(self) -> None:
+        pass

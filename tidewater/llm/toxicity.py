@@ -3,7 +3,8 @@
 A word is the bag of the hashed character n-grams of ``<word>``; its vector is the mean
 of their embeddings, a window's vector the mean over its words, and a softmax over two
 classes scores the window. Embeddings and softmax are trained jointly in numpy, so an
-unseen misspelling shares most of its n-gram vectors with the word it comes from. A
+unseen misspelling shares most of its n-gram vectors with the word it comes from; training
+misspells a share of the words at random, so that no single n-gram carries a word. A
 document's score is that of its worst window, so a long document cannot hide a passage.
 
 As the softmax is linear, a trained model needs one number for each n-gram bucket (its
@@ -34,11 +35,14 @@ DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 #: Labelled documents that training reads at most, in the order of a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 2000, 6000
 CACHE = 600_000
 #: Words seen in fewer labelled documents teach nothing but that document's label.
 MIN_DOCS = 3
 _TRIM = string.punctuation.encode()
+_LETTERS = string.ascii_lowercase + string.digits + "*@$!"
+#: Misspellings of each known word that training mixes in, and the share of words it misspells.
+VARIANTS, NOISE = 3, 0.15
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,11 +63,39 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, in the order of the words; how many each word has)."""
+    flats, sizes = [], []
+    for k in range(0, len(words), 20000):
+        part = words[k : k + 20000]
+        bucket, owner = grams(part)
+        flats.append(bucket[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(flats), np.concatenate(sizes)
+
+
 def split(text: str | None) -> list[bytes]:
     """Lower-case words; a word repeated at once counts once, so that a run of one word is not a window."""
     return [w for w, _ in groupby((text or "").lower().encode().split())]
 
 
+def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
+    """``word`` with one character doubled, dropped, swapped with the next, or replaced."""
+    text = word.decode()
+    if len(text) < 4:
+        return word
+    k, kind = int(rng.integers(1, len(text) - 1)), int(rng.integers(4))
+    if kind == 0:
+        text = text[:k] + text[k] + text[k:]
+    elif kind == 1:
+        text = text[:k] + text[k + 1 :]
+    elif kind == 2:
+        text = text[:k] + text[k + 1] + text[k] + text[k + 2 :]
+    else:
+        text = text[:k] + _LETTERS[int(rng.integers(len(_LETTERS)))] + text[k + 1 :]
+    return text.encode()
+
+
 def _windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(a + WINDOW, n)) for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE)] if n else []
 
@@ -75,14 +107,19 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: flo
     known: dict[bytes, int] = {}
     docs = [np.array([known.setdefault(w.strip(_TRIM), len(known)) for w in split(t)], np.int32) for t in texts]
     seen = np.bincount(np.concatenate([np.unique(d) for d in docs] or [np.zeros(0, np.int32)]), minlength=len(known))
-    docs = [d[seen[d] >= MIN_DOCS] for d in docs]
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    place = np.full(len(known), -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    docs = [p[p >= 0] for p in (place[d] for d in docs)]
     y_doc = np.array(labels, np.float64)
     if not any(map(len, docs)) or y_doc.min() == y_doc.max():
         return np.zeros(BUCKETS, np.float32), -30.0
-    flat, owner = grams(list(known))
-    order = np.argsort(owner, kind="stable")
-    flat = flat[order]
-    size = np.bincount(owner, minlength=len(known))
+    words = list(known)
+    names = [words[k] for k in used]
+    variants = len(names) + np.arange(len(names) * VARIANTS, dtype=np.int32).reshape(-1, VARIANTS)
+    names += [misspelt(words[k], rng) for k in used for _ in range(VARIANTS)]
+    del words, known
+    flat, size = bags(names)
     at = np.concatenate(([0], np.cumsum(size)))
     some = size > 0
     spans = [(d, a, b) for d, ids in enumerate(docs) for a, b in _windows(len(ids))]
@@ -109,6 +146,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: flo
             p = pick[k : k + 64]
             idx = np.concatenate([np.arange(a, a + n) for a, n in zip(lo[p], ln[p])])
             w = words[idx]
+            w = np.where(rng.random(len(w)) < NOISE, variants[w, rng.integers(VARIANTS, size=len(w))], w)
             win = np.repeat(np.arange(len(p)), ln[p])
             g = np.concatenate([flat[at[x] : at[x + 1]] for x in w])
             per = np.repeat(np.arange(len(w)), size[w])

@@ -209,6 +209,10 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     return rows.select("doc_id", "strict", F.array_sort(F.array_distinct(F.concat("strict", extra))).alias("spans"))
 
 
+def _of_kind(k: int):
+    return lambda s: s["kind"] == k
+
+
 def _text(col: str):
     name = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(col, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -216,5 +220,5 @@ def _text(col: str):
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("strict", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("strict", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_text("strict"), 256).alias("base_sha256"), _text("spans").alias("spans"))

@@ -39,11 +39,11 @@ def once(path: str, fmt: str = "parquet"):
     return write
 
 
-def upsert(path: str, keys: list[str], order: str, deleted: str | None = None):
+def upsert(path: str, keys: list[str], order: str):
     """A foreachBatch function that keeps the latest row of each key in generations under ``path``.
 
     Generation n is made from generation n - 1 and batch n, so a batch that runs again finds
-    what it found before; two generations are kept."""
+    what it found before. Older generations are the caller's to remove."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 #: Labelled documents that training reads at most, in the order of a hash of their id.
-MAX_TOXIC, MAX_CLEAN = 2000, 6000
+MAX_TOXIC, MAX_CLEAN = 1500, 4000
 CACHE = 600_000
 #: Words seen in fewer labelled documents teach nothing but that document's label.
 MIN_DOCS = 3
@@ -96,22 +96,30 @@ def misspelt(word: bytes, rng: np.random.Generator) -> bytes:
     return text.encode()
 
 
-def _windows(n: int) -> list[tuple[int, int]]:
-    return [(a, min(a + WINDOW, n)) for a in range(0, max(1, n - WINDOW + STRIDE), STRIDE)] if n else []
+def _starts(n: int) -> np.ndarray:
+    """Where the windows of ``n`` words begin."""
+    return np.arange(0, max(1, n - WINDOW + STRIDE) if n else 0, STRIDE)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(one number for each bucket, bias). Each epoch fits the worst window of each document
+def train(texts, labels, **options) -> tuple[np.ndarray, float]:
+    return train_rows(zip(texts, labels), **options)
+
+
+def train_rows(rows, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(one number for each bucket, bias) from (text, label) rows, read once and not kept. Each epoch fits the worst window of each document
     (first epoch: all windows), so that only a window that has the evidence learns it."""
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
-    docs = [np.array([known.setdefault(w.strip(_TRIM), len(known)) for w in split(t)], np.int32) for t in texts]
+    docs, y_doc = [], []
+    for text, label in rows:
+        docs.append(np.array([known.setdefault(w.strip(_TRIM), len(known)) for w in split(text)], np.int32))
+        y_doc.append(label)
     seen = np.bincount(np.concatenate([np.unique(d) for d in docs] or [np.zeros(0, np.int32)]), minlength=len(known))
     used = np.flatnonzero(seen >= MIN_DOCS)
     place = np.full(len(known), -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     docs = [p[p >= 0] for p in (place[d] for d in docs)]
-    y_doc = np.array(labels, np.float64)
+    y_doc = np.array(y_doc, np.float64)
     if not any(map(len, docs)) or y_doc.min() == y_doc.max():
         return np.zeros(BUCKETS, np.float32), -30.0
     words = list(known)
@@ -122,10 +130,12 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: flo
     flat, size = bags(names)
     at = np.concatenate(([0], np.cumsum(size)))
     some = size > 0
-    spans = [(d, a, b) for d, ids in enumerate(docs) for a, b in _windows(len(ids))]
-    of = np.array([s[0] for s in spans])
-    lo = np.array([s[1] for s in spans]) + np.concatenate(([0], np.cumsum([len(d) for d in docs])))[of]
-    ln = np.array([s[2] - s[1] for s in spans])
+    begins = [_starts(len(d)) for d in docs]
+    of = np.repeat(np.arange(len(docs)), [len(x) for x in begins])
+    length = np.array([len(d) for d in docs])
+    lo = np.concatenate(begins)
+    ln = np.minimum(lo + WINDOW, length[of]) - lo
+    lo = lo + np.concatenate(([0], np.cumsum(length)))[of]
     words = np.concatenate(docs)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, DIM)).astype(np.float32)
@@ -134,7 +144,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 8, rate: flo
     weight = np.where(y_doc > 0, 0.5 / y_doc.mean(), 0.5 / (1 - y_doc.mean()))
     for epoch in range(epochs):
         if epoch == 0:
-            pick = np.arange(len(spans))
+            pick = np.arange(len(of))
             keep = rng.permutation(len(pick))
             pick = pick[keep[:60000]]
         else:
@@ -205,22 +215,16 @@ class Scorer:
             worst = -np.inf
             if d:
                 c = np.concatenate(([0.0], np.cumsum(np.fromiter(map(get, d), np.float64, len(d)))))
-                a = np.arange(0, max(1, len(d) - WINDOW + STRIDE), STRIDE)
+                a = _starts(len(d))
                 b = np.minimum(a + WINDOW, len(d))
                 worst = ((c[b] - c[a]) / (b - a)).max()
             out.append(float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60)))) if d else 0.0)
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scoring(key: str, model, name: str = "score__"):
     def run(batches):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(*model.value)
-        scorer = _scorers[key]
+        scorer = held(("scorer", key), lambda: Scorer(*model.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -245,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     own = own.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id"), F.col("id")]
     picked = own.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(own.where("toxic = 0").orderBy(*order).limit(max_clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id").orderBy("id", "text").collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id").orderBy("id", "text")
+    return train_rows((r.text, r.toxic) for r in rows.toLocalIterator())
 
 
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:

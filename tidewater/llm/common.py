@@ -89,3 +89,16 @@ def union_find(n: int, pairs) -> list[tuple[int, int]]:
             parent[max(ra, rb)] = min(ra, rb)
             kept.append((a, b))
     return kept
+
+
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker process keeps between tasks: one object; asking for another drops it.
+
+    Workers are reused by all operators, so caches of several would add up."""
+    if _held.get("key") != key:
+        _held.clear()
+        _held.update(key=key, it=make())
+    return _held["it"]

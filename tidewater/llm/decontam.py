@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 #: Characters of item text for which one automaton is built; a larger benchmark is
 #: scanned in several passes, so that a worker never holds more than about 4 million states.
@@ -55,22 +55,20 @@ def windows(items: list[tuple[str | None, str | None]], n: int) -> dict[str, lis
     return {k: sorted(v) for k, v in found.items()}
 
 
-_built: dict = {}
-
-
 def _automaton(shared):
     """One automaton per broadcast and worker process."""
-    if shared.id_ not in _built:
+
+    def build():
         import ahocorasick
 
-        _built.clear()
         auto = ahocorasick.Automaton()
         for k, v in shared.value.items():
             auto.add_word(k, (k.count(" ") - 1, tuple(v)))
         if len(auto):
             auto.make_automaton()
-        _built[shared.id_] = auto
-    return _built[shared.id_]
+        return auto
+
+    return held(("automaton", shared.id_), build)
 
 
 class _Shared:

@@ -203,6 +203,17 @@ def shared_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     spark = docs.sparkSession
     parts = max(1, min(65535, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # blocks are large rows: few of them at a time go to a worker
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "64")
+    try:
+        return _exchange(rows, parts, width, percent)
+    finally:
+        spark.conf.set(limit, before)
+
+
+def _exchange(rows: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
     sent = rows.mapInArrow(_send(parts, width), _BLOCK_SQL)
     sent = sent.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_count, "b string, docs binary, keys binary, at binary")
     back = sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_gather(percent), _SET_SQL)

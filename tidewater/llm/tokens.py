@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import scratch, table, written
+from .common import held, scratch, table, written
 from .files import open_in, open_out
 
 MAGIC = b"TWRANS1\n"
@@ -126,13 +126,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -190,11 +185,11 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
 
         enc, part, attempt = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         end = np.array([end_id], np.uint32).tobytes()
-        docs, lengths, held, n, seq = [], [], [], 0, 0
+        docs, lengths, coded, n, seq = [], [], [], 0, 0
 
         def flush():
             path = f"{folder}/shard-{part:06d}-{seq:05d}-{attempt}.rans"
-            raw = shard_bytes(docs, lengths, np.frombuffer(b"".join(held), np.uint32))
+            raw = shard_bytes(docs, lengths, np.frombuffer(b"".join(coded), np.uint32))
             with open_out(path) as f:
                 f.write(raw)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, path, len(docs), n, len(raw)), _MANIFEST.types)], schema=_MANIFEST)
@@ -206,10 +201,10 @@ def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
                     size = len(raw) // 4 + 1
                     if n and n + size > shard_ids:
                         yield flush()
-                        docs, lengths, held, n, seq = [], [], [], 0, seq + 1
+                        docs, lengths, coded, n, seq = [], [], [], 0, seq + 1
                     docs.append(doc)
                     lengths.append(size)
-                    held += (raw, end)
+                    coded += (raw, end)
                     n += size
         if n:
             yield flush()

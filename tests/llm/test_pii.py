@@ -70,6 +70,14 @@ def test_strict_spans_on_odd_texts(spark):
     compare(spark, ODD)
 
 
+def test_cards_with_every_digit_separated(spark):
+    """No two digits are adjacent anywhere in these texts."""
+    card = "4111111111111111"
+    texts = ["card " + " ".join(card), "-".join(card), "4-1 1-" + " ".join(card[3:]) + " x", "4.1 1", "1 2 3"]
+    assert [len(base(t)) for t in texts] == [1, 1, 1, 0, 0]
+    compare(spark, texts)
+
+
 def test_strict_spans_on_random_texts(spark):
     import random
 

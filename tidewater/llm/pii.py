@@ -116,7 +116,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     parts = [
         ("email", "email", STRICT["email"], "contains(text, '@')", True),
         ("ip", "ip", STRICT["ip"], "text rlike '[0-9][.][0-9]'", True),
-        ("card", "card", STRICT["card"], digit, True),
+        ("card", "card", STRICT["card"], "text rlike '[0-9][ -]?[0-9]'", True),
         ("phone", "phone", STRICT["phone"], "contains(text, '+')", True),
         ("email", "email2", LOOSE["email"], "contains(text, '[at]') or contains(text, '(at)')", False),
         ("phone", "phone2", LOOSE["phone"], digit, False),

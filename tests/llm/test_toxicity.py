@@ -34,6 +34,20 @@ def test_held_out_accuracy_and_misspellings():
     assert scorer.scores([long])[0] >= 0.5
 
 
+def test_first_epoch_reads_all_windows(monkeypatch):
+    class Counting(np.random.Generator):
+        drawn = 0
+
+        def random(self, size):  # one number for each word of the windows trained on
+            Counting.drawn += size
+            return super().random(size)
+
+    monkeypatch.setattr(toxicity.np.random, "default_rng", lambda seed: Counting(np.random.PCG64(seed)))
+    words = 6 * 11000 + 6
+    toxicity.train([" ".join(f"{w}{k % 5}" for k in range(words)) for w in ("good", "good", "good", "bad", "bad", "bad")], [0, 0, 0, 1, 1, 1], epochs=1)
+    assert Counting.drawn == 6 * 11000 * toxicity.WINDOW
+
+
 def test_one_class_or_nothing():
     table, bias = toxicity.train(["a b", "c"], [0, 0])
     assert toxicity.Scorer(table, bias).scores(["a b"])[0] < 1e-9

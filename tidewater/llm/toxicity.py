@@ -144,9 +144,7 @@ def train_rows(rows, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple
     weight = np.where(y_doc > 0, 0.5 / y_doc.mean(), 0.5 / (1 - y_doc.mean()))
     for epoch in range(epochs):
         if epoch == 0:
-            pick = np.arange(len(of))
-            keep = rng.permutation(len(pick))
-            pick = pick[keep[:60000]]
+            pick = rng.permutation(len(of))
         else:
             logit = _window_logits(emb @ (soft[1] - soft[0]), flat, at, some, size, words, lo, ln)
             best = np.lexsort((-logit, of))

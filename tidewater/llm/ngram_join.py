@@ -19,8 +19,8 @@
 The boundary is chosen by cost: subsets to be enumerated against inverted-list entries,
 from a histogram of small sizes.
 
-Keys are 40 bits in one of R parts, R growing with the input, so a key stands for 40 +
-log2(R) bits of the hash.
+Keys are 40 bits in one of R parts, R being spark.sql.shuffle.partitions, so a key stands
+for 40 + log2(R) bits of the hash, and links are exact up to collisions of these keys.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are
 their own component; a text of fewer than ``width`` words is one shingle; repeated rows

@@ -1,3 +1,5 @@
+import io
+import random
 import zlib
 
 import numpy as np
@@ -52,6 +54,34 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
     assert got == [x[:-1].tobytes() for x in library(texts)]
 
 
+def test_ids_of_letters_that_normalisation_changes():
+    """Marks after letters whose lower case, or composed form, does not end in a letter."""
+    rnd = random.Random(17)
+    letters = "abHJTWI\u0331\u0308\u030c\u030aİıſKÅÀéßŉǅǰΐΣσςﬁĲŁ\u0301\u0307\u0327\u0345e\u0301ªº²½Ⅷ٣あ한\u1100\u1161"
+    texts = ["İ,", "xİ.", "İ", "Iİ!?", "e\u0301,", "ſ.", "K,", "a\u0307'", "ŉ'", "é's", "İ's,", "H\u0331", "h\u0331.", "I\u0327\u0307,", "J\u030c", "T\u0308!"]
+    texts += ["".join(rnd.choice(letters + ",.'!-’ \u00a0 ") for _ in range(rnd.randint(1, 12))) for _ in range(100_000)]
+    coded = tokens.Encoder(PATH)
+    for a in range(0, len(texts), 10_000):
+        part = texts[a : a + 10_000]
+        want = [np.array(e.ids, np.uint32).tobytes() for e in coded.tok.encode_batch(part, add_special_tokens=False)]
+        wrong = [t for t, x, y in zip(part, coded.ids(part), want) if x != y]
+        assert not wrong, wrong[:5]
+
+
+def test_blocks_are_read_on_their_own(monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK", 100)
+    rnd = np.random.default_rng(3)
+    lengths = [1, 250, 3, 99, 1, 1, 700, 46, 5]
+    ids = rnd.integers(0, 50, sum(lengths)).astype(np.uint32)
+    shard = tokens.Shard(io.BytesIO(tokens.shard_bytes(list(range(len(lengths))), lengths, ids)))
+    whole = [(d, s, x.tolist()) for d, s, x in shard.documents()]
+    ends = np.cumsum(lengths).tolist()
+    assert whole == [(k, e - n, ids[e - n : e].tolist()) for k, (n, e) in enumerate(zip(lengths, ends))]
+    for unit in (1, 2, 5):
+        dealt = [(d, s, x.tolist()) for lo in range(0, len(shard.head["blocks"]), unit) for d, s, x in shard.documents(lo, lo + unit)]
+        assert dealt == whole
+
+
 ODD = [
     (3, "Hello  WORLD's it's <|endoftext|> x"),
     (1, None),

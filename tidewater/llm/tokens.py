@@ -10,13 +10,19 @@ Defined cases: a null text is empty and gives the end id alone; repeated rows ar
 written one after the other, ordered by text; a null doc_id comes first; a document
 never spans two shards and is never cut; an empty table gives no shard; extra columns
 are ignored. Control strings of the tokenizer inside a text become its special ids, as
-the library does by default.
+the library does by default. A shard holds at most 2**19 different ids, far above the
+vocabularies of public tokenizers; more of them are an error, never a loss.
+
+The offsets of shards are one running sum over the manifest, which has one row for
+each 4 million ids (2.5 million rows for 10**13 ids).
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import re
 import string
 import uuid
 import zlib
@@ -36,7 +42,25 @@ SHARD_IDS = 4_000_000
 #: Distinct chunks that a worker remembers before it starts anew.
 CACHE = 1_000_000
 END_ID = 1
+#: Blocks that one task decodes at a time when shards are read back.
+UNIT_BLOCKS = 4
 _MARKS = string.punctuation.encode()
+#: A capital that a combining mark may follow: the library composes before it lowers the case, and
+#: not all capitals compose as their small letters do, so such texts are not put in lower case here.
+_COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
+
+
+def _ends_in_letter(base: bytes) -> bool:
+    """Whether ``base``, once composed and in lower case, ends in a letter or digit for certain.
+
+    Letters beyond ASCII are taken from the Latin blocks only, where all versions of Unicode
+    agree, and only if their lower case is one letter: that of U+0130 ends in a combining dot,
+    which the splitting pattern keeps with the marks that follow. A base that ends in any
+    other character is coded together with its marks."""
+    if base[-1:].isalnum():
+        return True
+    low = base[-2:].decode().lower() if b"\xc3" <= base[-2:-1] <= b"\xc9" else ""
+    return len(low) == 1 and low.isalpha()
 
 
 class Encoder:
@@ -66,12 +90,11 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """A chunk that ends in ASCII marks after a letter or digit has the ids of its two pieces,
-        which the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once.
-        Letters are taken from the Latin blocks only, where all versions of Unicode agree."""
+        which the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once."""
         marked, need = [], set()
         for c in chunks:
             base = c.rstrip(_MARKS)
-            if base and len(base) < len(c) and (base[-1:].isalnum() or (b"\xc3" <= base[-2:-1] <= b"\xc9" and base[-2:].decode().isalpha())):
+            if base and len(base) < len(c) and _ends_in_letter(base):
                 marked.append((c, base))
                 need.update((base, c[len(base) :]))
             else:
@@ -110,11 +133,12 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         split: dict[int, list[bytes]] = {}
         for k, text in enumerate(texts):
-            raw = (text or "").encode().lower()
-            if not self.chunked or any(m in raw for m in self.marks):
+            raw = (text or "").encode()
+            low = raw.lower()
+            if not self.chunked or any(m in low for m in self.marks):
                 out[k] = np.array(self.tok.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, np.uint32).tobytes()
             else:
-                split[k] = raw.split()
+                split[k] = (raw if _COMPOSED.search(raw) else low).split()
         new = set().union(*split.values()).difference(self.known) if split else set()
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
@@ -146,34 +170,71 @@ def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray)
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *parts])
 
 
-def read_block(head: dict, base: int, coder: rans.Coder, raw: bytes, k: int) -> np.ndarray:
-    """Block ``k`` alone, from its checkpoint."""
-    at = base + sum(p[0] for p in head["blocks"][:k])
-    size, _, n, lanes, crc, ids_crc = head["blocks"][k]
-    body = raw[at : at + size]
-    if zlib.crc32(body) != crc:
-        raise ValueError(f"block {k}: checksum of the coded bytes differs")
-    ids = coder.decode(n, lanes, np.frombuffer(body, np.uint64, lanes), np.frombuffer(body, np.uint32, offset=8 * lanes))
-    if zlib.crc32(ids.tobytes()) != ids_crc:
-        raise ValueError(f"block {k}: checksum of the ids differs")
-    return ids
+class Shard:
+    """A shard file, open: header, documents and table are read once, blocks one by one by their place."""
+
+    def __init__(self, f):
+        self.f = f
+        if self._at(0, len(MAGIC)) != MAGIC:
+            raise ValueError("not a shard")
+        at = len(MAGIC) + 8
+        size = int.from_bytes(self._at(len(MAGIC), 8), "little")
+        self.head, at = json.loads(self._at(at, size)), at + size
+        n, size = self.head["docs"]
+        docs, at = zlib.decompress(self._at(at, size)), at + size
+        known = np.frombuffer(docs, np.uint8, n, 8 * n)
+        self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(docs, np.int64, n), known)]
+        self.lengths = np.frombuffer(docs, np.int64, n, 9 * n)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        m, size = self.head["table"]
+        tab, at = zlib.decompress(self._at(at, size)), at + size
+        self.coder = rans.Coder(np.frombuffer(tab, np.uint32, m), np.frombuffer(tab, np.uint32, m, 4 * m))
+        self.places = at + np.cumsum([0, *[p[0] for p in self.head["blocks"]]])
+
+    def _at(self, at: int, size: int) -> bytes:
+        self.f.seek(at)
+        return self.f.read(size)
+
+    def block(self, k: int) -> np.ndarray:
+        """Ids of block ``k`` alone, from its checkpoint."""
+        size, _, n, lanes, crc, ids_crc = self.head["blocks"][k]
+        body = self._at(int(self.places[k]), size)
+        if zlib.crc32(body) != crc:
+            raise ValueError(f"block {k}: checksum of the coded bytes differs")
+        ids = self.coder.decode(n, lanes, np.frombuffer(body, np.uint64, lanes), np.frombuffer(body, np.uint32, offset=8 * lanes))
+        if zlib.crc32(ids.tobytes()) != ids_crc:
+            raise ValueError(f"block {k}: checksum of the ids differs")
+        return ids
+
+    def documents(self, lo: int = 0, hi: int | None = None):
+        """(id, start in the shard, ids) of the documents that start in the blocks lo..hi-1.
+
+        Blocks are decoded as they are needed and dropped when no document is left in them;
+        the last document may reach into blocks beyond ``hi``."""
+        blocks = self.head["blocks"]
+        hi = len(blocks) if hi is None else min(hi, len(blocks))
+        if lo >= hi:
+            return
+        first = blocks[lo][1]
+        end = blocks[hi][1] if hi < len(blocks) else self.head["ids"]
+        ids, base, k = np.zeros(0, np.uint32), first, lo
+        for d in range(int(np.searchsorted(self.starts, first)), int(np.searchsorted(self.starts, end))):
+            start, stop = int(self.starts[d]), int(self.starts[d] + self.lengths[d])
+            if base + len(ids) < stop:
+                parts = [ids[start - base :]] if start < base + len(ids) else []
+                base = start if parts else base + len(ids)
+                while sum(map(len, parts)) + base < stop:
+                    parts.append(self.block(k))
+                    k += 1
+                ids = np.concatenate(parts)
+            yield self.doc_ids[d], start, ids[start - base : stop - base]
 
 
 def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, lengths, ids) of a shard file."""
-    if raw[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a shard")
-    at = len(MAGIC) + 8
-    size = int.from_bytes(raw[len(MAGIC) : at], "little")
-    head, at = json.loads(raw[at : at + size]), at + size
-    n, size = head["docs"]
-    docs, at = zlib.decompress(raw[at : at + size]), at + size
-    doc_ids, known, lengths = np.frombuffer(docs, np.int64, n), np.frombuffer(docs, np.uint8, n, 8 * n), np.frombuffer(docs, np.int64, n, 9 * n)
-    m, size = head["table"]
-    tab, at = zlib.decompress(raw[at : at + size]), at + size
-    coder = rans.Coder(np.frombuffer(tab, np.uint32, m), np.frombuffer(tab, np.uint32, m, 4 * m))
-    blocks = [read_block(head, at, coder, raw, k) for k in range(len(head["blocks"]))]
-    return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
+    shard = Shard(io.BytesIO(raw))
+    blocks = [shard.block(k) for k in range(len(shard.head["blocks"]))]
+    return shard.doc_ids, shard.lengths, np.concatenate(blocks) if blocks else np.zeros(0, np.uint32)
 
 
 _MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -235,18 +296,27 @@ _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 
 def _reader(batches):
     for batch in batches:
-        for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for path, first, lo in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
             with open_in(path) as f:
-                docs, lengths, ids = read_shard(f.read())
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-            crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(starts, lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], schema=_READ)
+                for doc, start, ids in Shard(f).documents(lo, lo + UNIT_BLOCKS):
+                    rows.append((doc, first + start, len(ids), zlib.crc32(ids)))
+                    if len(rows) == 65536:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_READ)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_READ)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
+
+    Runs of ``UNIT_BLOCKS`` blocks are dealt to the tasks, each decoded from its checkpoint;
+    a document belongs to the run in which it starts."""
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.select("path", "first").repartition(n, "path").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    last = F.floor((F.col("n_ids") - 1) / F.lit(rans.BLOCK))
+    units = shards.select("path", "first", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(UNIT_BLOCKS).cast("long"))).alias("lo"))
+    return units.repartition(n, "path", "lo").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

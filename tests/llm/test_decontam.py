@@ -51,6 +51,30 @@ def test_odd_texts(spark, size):
     assert free.schema == docs.schema and sorted(r.doc_id for r in free.collect()) == [r[0] for r in brute(DOCS, ITEMS) if not r[5]]
 
 
+def test_passes_hold_one_broadcast_at_a_time(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    live, most, made = set(), [], spark.sparkContext.broadcast
+    gone = Broadcast.unpersist
+
+    def broadcast(value):
+        b = made(value)
+        live.add(id(b))
+        most.append(len(live))
+        return b
+
+    def unpersist(b, blocking=False):
+        live.discard(id(b))
+        return gone(b, blocking)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "unpersist", unpersist)
+    docs = spark.createDataFrame([(d, t) for d, t in DOCS], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontam.decontaminate(docs, items, pass_chars=20).count() == len(DOCS)
+    assert len(most) > 3 and max(most) == 1
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

@@ -29,7 +29,7 @@ def check(rows, got):
     for _, text, source in rows:
         sizes[source] = sizes.get(source, 0) + size_of(text)
     target = fill(sizes, mixing.WEIGHTS, mixing.MAX_EPOCHS) if sizes else {}
-    by_id = {(d, size_of(t)): s for d, t, s in rows}
+    by_id = {(d, size_of(t)): s for d, t, s in rows}  # ids are not shared by sources here
     assert len(got) == len(rows)
     taken, largest = {}, {}
     for r in got:
@@ -67,6 +67,34 @@ def test_hot_source_is_cut_inside_a_bucket(spark):
     check(rows, mixing.mix_plan(df, buckets=4).collect())
 
 
+def test_shared_ids_and_clashing_names(spark):
+    """Twenty ids are used by two sources; the mix keeps to each source's target, by rows of the result."""
+    rows = [(k % 60 if k % 5 else None, "w " * (1 + k % 13) + f"{k // 60}", f"s{k % 3}") for k in range(900)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, h int, row int, k_ int, n_copies_ int")
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + size_of(text)
+    target = fill(sizes, mixing.WEIGHTS, mixing.MAX_EPOCHS)
+    got, taken = mixing.mixed(df.repartition(7)), {}
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert (r.doc_id, r.text, r.source) in set(rows) and (r.h, r.row, r.k_, r.n_copies_) == (1, 2, 3, 4)
+        taken[r.source] = taken.get(r.source, 0) + size_of(r.text)
+    assert all(abs(taken[s] - target[s]) <= 8 for s in target)
+
+
+def test_sample_that_ends_inside_a_group_of_copies(spark):
+    rows = [(7, "a b c d", "hot")] * 500 + [(None, "x y", "hot")] * 300 + [(k, "q r s", "cold") for k in range(40)]
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, n int").repartition(6)
+    target = fill({"hot": 2600, "cold": 120}, mixing.WEIGHTS, mixing.MAX_EPOCHS)
+    plan = [mixing.mix_plan(d, buckets=2).collect() for d in (df, df.repartition(3))]
+    assert sorted(map(str, plan[0])) == sorted(map(str, plan[1])) and len(plan[0]) == len(rows)
+    for source in target:
+        assert abs(sum(r.taken for r in plan[0] if r.source == source) - target[source]) <= 2
+    ids = [r.n for r in mixing.mixed(df, buckets=2).collect()]
+    assert len(ids) == sum(r.copies for r in plan[0]) and max(map(ids.count, set(ids))) <= 3
+
+
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
     check(rows, mixing.op4_mix_sources(spark, sf).collect())

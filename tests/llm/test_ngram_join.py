@@ -6,13 +6,13 @@ import pytest
 from tidewater.llm import ngram_join as nj
 
 
-def brute(rows):
+def brute(rows, width=4, percent=85):
     """doc_id -> (set size, smallest id reachable)."""
     sets, parent = [], {}
     for doc, text in rows:
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets.append((doc, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()))
+        sets.append((doc, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()))
         parent[doc] = doc
 
     def find(x):
@@ -22,9 +22,9 @@ def brute(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and min(len(x), len(y)) * 100 >= 85 * max(len(x), len(y)):
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)):
                 o = len(x & y)
-                if 100 * o >= 85 * (len(x) + len(y) - o):
+                if 100 * o >= percent * (len(x) + len(y) - o):
                     ra, rb = find(a), find(b)
                     parent[max(ra, rb)] = min(ra, rb)
     return {doc: (len(s), find(doc)) for doc, s in sets}
@@ -53,7 +53,7 @@ def corpus(seed, n=260):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, n int").repartition(5)
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, **options).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, **{"width": 4, "percent": 85, **options}).collect()}
 
 
 @pytest.mark.parametrize("options", [{}, {"boundary": 0, "weight": 700}, {"boundary": 16}])
@@ -62,6 +62,11 @@ def test_against_brute_force(spark, options):
     assert run(spark, rows, **options) == brute(rows)
 
 
+def test_five_words_and_four_fifths(spark):
+    rows = corpus(8)
+    assert run(spark, rows, width=nj.WIDTH, percent=nj.PERCENT) == brute(rows, 5, 80) != brute(rows)
+
+
 def test_thousands_of_near_copies_and_long_text(spark):
     rnd = random.Random(9)
     base = [f"v{rnd.randrange(10**6)}" for _ in range(60)]
@@ -77,11 +82,11 @@ def test_thousands_of_near_copies_and_long_text(spark):
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (None, "a b c d e"), (2, None), (3, " ")], "doc_id long, text string")
-    got = sorted(map(tuple, nj.jaccard_components(df).collect()), key=str)
+    got = sorted(map(tuple, nj.jaccard_components(df, width=4, percent=85).collect()), key=str)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2), (3, 0, 3)], key=str)
     assert nj.jaccard_components(df.limit(0)).collect() == []
 
 
 def test_boundary_by_cost():
-    assert nj.choose_boundary([(5, 5, 100), (8, 8, 100)]) >= 8
+    assert nj.choose_boundary([(5, 5, 100), (8, 8, 100)], 85) >= 8
     assert nj.choose_boundary([]) == 0

@@ -7,17 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Words as the deduplication and mixing operators count them.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session may go without that setting (tests, notebooks); it then
     gets a temporary folder once. A cluster without it is an error, because its
-    executors could not see a machine-local folder.
+    executors could not see a machine-local folder. A path without a scheme is on the
+    default file system, as it is everywhere else in Spark; ``file:`` paths on a cluster
+    must be a mount that all machines share. ``cleanup`` removes what is left there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -26,8 +32,21 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):
-        base = "file://" + base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        base = ("file://" if default.startswith("file:") else default.rstrip("/")) + base
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Removes the scratch paths that this driver has made so far; results that still read them are void.
+
+    Returns how many there were."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +61,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns_of(df: DataFrame) -> list:
+    """The columns of ``df``, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def with_text_first(df: DataFrame) -> tuple[DataFrame, StructType]:
+    """(the text as ``t`` and then the columns of ``df`` as c0, c1, ...; the schema of the latter), for Arrow
+    functions that pass rows on: they look columns up by name, so clashing or dotted names can't go in."""
+    named = [c.alias(f"c{k}") for k, c in enumerate(columns_of(df))]
+    schema = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema.fields)])
+    return df.select(F.col("text").cast("string").alias("t"), *named), schema
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: ``(id, comp)``.
 

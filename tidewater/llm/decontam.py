@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, scratch, table, with_text_first, written
 
-#: Characters of item text for which one automaton is built; a larger benchmark is
-#: scanned in several passes, so that a worker never holds more than about 4 million states.
+#: Characters of item text for which one automaton is built (about 4 million states of a worker's
+#: memory); a larger benchmark is scanned in passes that follow one another.
 PASS_CHARS = 400_000
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -161,42 +161,55 @@ def _free(shared):
             for text in batch.column(0).to_pylist():
                 w = words_of(text)
                 clear.append(not (w and len(auto)) or next(auto.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is None)
-            yield batch.select(range(1, batch.num_columns)).filter(pa.array(clear, pa.bool_()))
+            yield batch.select(list(range(1, batch.num_columns))).filter(pa.array(clear, pa.bool_()))
 
     return run
 
 
-def _passes(spark: SparkSession, benchmark: DataFrame, n: int, pass_chars: int) -> list:
-    """Broadcast windows, one for each hash share of about ``pass_chars`` characters of items."""
+def _passes(spark: SparkSession, benchmark: DataFrame, n: int, pass_chars: int):
+    """Broadcast windows of one hash share after the other, each of about ``pass_chars`` characters of items.
+
+    A share is collected and sent only when the scan before it has ended and its broadcast is gone, so
+    driver and workers hold one share at a time. Yields (shared, whether it is the last)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    count, out = max(1, -(-int(total) // pass_chars)), []
+    count = max(1, -(-int(total) // pass_chars))
+    if count > 1:  # the benchmark is dealt by share once, so that a pass reads its own share only
+        items = items.withColumn("share", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+        path = scratch(spark, "shares")
+        items.repartition(min(count, 200), "share").write.partitionBy("share").parquet(path)
     for k in range(count):
-        share = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        out.append(_Shared(spark.sparkContext.broadcast(windows([tuple(r) for r in share.toLocalIterator()], n)), uuid.uuid4().hex))
-    return out
+        share = items if count == 1 else spark.read.schema("item_id string, text string, share long").parquet(path).where(F.col("share") == k).select("item_id", "text")
+        broadcast = spark.sparkContext.broadcast(windows([tuple(r) for r in share.toLocalIterator()], n))
+        yield _Shared(broadcast, uuid.uuid4().hex), k == count - 1
+        if k < count - 1:
+            broadcast.unpersist(blocking=True)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_chars: int = PASS_CHARS) -> DataFrame:
     """Per document: words, words inside any window, items found, spans in the original.
 
-    The benchmark is the stated query set. Its size is summed first; each pass takes
-    a hash share of the items of about ``pass_chars`` characters, so what is collected
-    and broadcast is bounded however large the benchmark is. No shuffle of documents.
+    The benchmark is the stated query set and its size is summed first. Up to ``pass_chars`` characters
+    it is one automaton and each text is scanned once, without a shuffle. A larger one, of which no
+    worker could hold the automaton, is scanned share by share: the hits of each pass are written
+    with the texts before the next automaton is built. The result is the same.
     """
-    steps = [_scan(shared) for shared in _passes(docs.sparkSession, benchmark, n, pass_chars)]
     cur = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for step in steps[:-1]:
-        cur = cur.mapInArrow(step, "doc_id long, text string, n_words long, hits array<long>, items array<string>")
-    return cur.mapInArrow(_chained(steps[-1], _finish), _OUT)
+    for shared, last in _passes(docs.sparkSession, benchmark, n, pass_chars):
+        if last:
+            return cur.mapInArrow(_chained(_scan(shared), _finish), _OUT)
+        cur = written(cur.mapInArrow(_scan(shared), "doc_id long, text string, n_words long, hits array<long>, items array<string>"), "scanned")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_chars: int = PASS_CHARS) -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark, with all their columns; no shuffle."""
     cur = docs
-    for shared in _passes(docs.sparkSession, benchmark, n, pass_chars):
-        cur = cur.select(F.col("text").cast("string").alias("text__"), *cur.columns).mapInArrow(_free(shared), docs.schema)
-    return cur
+    for shared, last in _passes(docs.sparkSession, benchmark, n, pass_chars):
+        rows, schema = with_text_first(cur)
+        cur = rows.mapInArrow(_free(shared), schema).toDF(*docs.columns)
+        if last:
+            return cur
+        cur = written(cur, "scanned")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

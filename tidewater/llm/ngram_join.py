@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import components, table, union_find, written
 
-WIDTH, PERCENT = 4, 85
+#: Near duplicates: shingles of five words, Jaccard of 80 % or more. The query ``op2`` has its own.
+WIDTH, PERCENT = 5, 80
 #: Documents and shingles of one batch; a batch's memory and its local document numbers.
 BATCH_DOCS, BATCH_SHINGLES = 32768, 2_000_000
 #: Largest boundary considered, and the cost of an inverted-list entry in subsets.
@@ -382,4 +383,4 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)

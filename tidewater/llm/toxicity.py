@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, table, with_text_first
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -254,13 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scoring, column = _scoring(uuid.uuid4().hex, shared), "text__"
+    scoring = _scoring(uuid.uuid4().hex, shared)
 
     def run(batches):
         for batch in scoring(batches):
-            yield batch.filter(pc.less(batch.column(batch.num_columns - 1), threshold)).select(batch.schema.names[:-1])
+            last = batch.num_columns - 1
+            yield batch.filter(pc.less(batch.column(last), threshold)).select(list(range(last)))
 
-    return docs.select(F.col("text").cast("string").alias(column), *docs.columns).mapInArrow(run, docs.schema)
+    rows, schema = with_text_first(docs)
+    return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def score_ids(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -1,4 +1,9 @@
+import random
+import re
+import time
+
 import duckdb
+import pytest
 
 from tidewater.llm import line_dedup
 
@@ -12,6 +17,29 @@ def test_against_sql(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
 
 
+def stated(html):
+    """The lines as the patterns state them."""
+    t = re.sub(line_dedup.DROP, "\n", html, flags=re.A)
+    t = re.sub(line_dedup.TAG, "", re.sub(line_dedup.BREAK, "\n", t, flags=re.A))
+    return [x.strip(" ") for x in t.split("\n") if x.strip(" ")]
+
+
+def test_lines_are_those_of_the_patterns():
+    rnd = random.Random(6)
+    parts = ["<script>", "<SCRIPT a='>'", "</script >", "<style", "</style>", "<!--", "-->", ">", "<", "a b", "\n", " ", "<p>", "</div", "<b>", "scripts", "<scripts>", "<stylé>"]
+    for _ in range(30000):
+        html = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14)))
+        assert line_dedup.lines_of(html) == stated(html), html
+
+
+@pytest.mark.parametrize("unit", ["<script>", "<script", "<style>x", "<!-- ", "<", "<p", "</script>", "<!--><script ><style>", "<script></script ", "x\n"])
+def test_long_pages_take_linear_time(unit):
+    html = unit * (5_000_000 // len(unit))
+    began = time.perf_counter()
+    line_dedup.lines_of(html)
+    assert time.perf_counter() - began < 10
+
+
 def test_boilerplate_per_host(spark):
     rows = [(k, f"http://u@A.example:80/p{k}", f"<nav>menu</nav><p>own {k}</p><p>menu </p><script>menu<p></script><!-- x -->") for k in range(4)]
     rows += [(10, "http://b.example", "menu"), (11, None, None), (11, None, "a\nb  <b>c</b>"), (12, "http://c.example/", "x " * 100000)]

@@ -1,11 +1,13 @@
-"""Site-relative line deduplication of web pages, in DataFrame operations.
+"""Site-relative line deduplication of web pages.
 
 A page's html becomes lines of text (scripts, styles and comments go, block tags end a
 line, other tags go, lines are trimmed of spaces, empty ones dropped). Per host, a line's
 frequency is the number of pages that have it divided by the host's pages; lines above
 ``RATIO`` that at least ``MIN_PAGES`` pages have are boilerplate and go from every page.
 
-Counts are partial sums over (host, line hash). A host's boilerplate is short (its lines
+Pages are parsed once, by a scan that is linear in the page whatever it leaves open, and
+written with the hashes of their lines (64 bits; lines of one host with equal hashes would
+count as one). Counts are partial sums over (host, line hash). A host's boilerplate is short (its lines
 are on more than ``RATIO`` of the pages, so there are at most an average page's lines
 divided by ``RATIO``); it meets the pages in an equi-join on host and one of ``SALTS``
 parts of the host, so that a host with a third of all pages is spread.
@@ -17,10 +19,13 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 RATIO, MIN_PAGES, SALTS = 0.3, 3, 32
 
@@ -31,29 +36,96 @@ TAG = r"<[^>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def lines_of(html):
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), F.lit(DROP), F.lit("\n"))
-    text = F.regexp_replace(F.regexp_replace(text, F.lit(BREAK), F.lit("\n")), F.lit(TAG), F.lit(""))
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+_OPEN = re.compile(r"<(?:(script|style)\b|!--)", re.I | re.A)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I | re.A) for k in ("script", "style")} | {"": re.compile("-->")}
+_BREAK, _TAG = re.compile(BREAK, re.A), re.compile(TAG)
+
+
+def _dropped(html: str) -> str:
+    """``html`` with scripts, styles and comments (the pattern DROP) as line ends, in linear time.
+
+    An element without an end is no match, and once one kind has no end any more, no later
+    element of that kind has one; so no part of the text is searched again and again."""
+    out, at, look, endless = [], 0, 0, set()
+    while len(endless) < 3:
+        m = _OPEN.search(html, look)
+        if m is None:
+            break
+        kind, look = (m[1] or "").lower(), m.end()
+        if kind in endless:
+            continue
+        body = m.end() if not kind else html.find(">", m.end()) + 1
+        end = _CLOSE[kind].search(html, body) if body else None
+        if end is None:
+            endless.add(kind)
+            continue
+        out += (html[at : m.start()], "\n")
+        at = look = end.end()
+    return "".join([*out, html[at:]])
+
+
+def _replaced(pattern, by: str, text: str) -> str:
+    """Every tag that ``pattern`` starts ends at the next ``>``, so what follows the last one is left out."""
+    end = text.rfind(">") + 1
+    return pattern.sub(by, text[:end]) + text[end:]
+
+
+def lines_of(html: str | None) -> list[str]:
+    text = _replaced(_TAG, "", _replaced(_BREAK, "\n", _dropped(html or "")))
+    return [x for x in (x.strip(" ") for x in text.split("\n")) if x]
+
+
+_PAGE = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("lines", pa.list_(pa.string())), ("keys", pa.list_(pa.int64()))])
+
+
+def _parsed(batches):
+    """Lines of each page, and the distinct hashes of the lines."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            lines = [lines_of(html) for html in part.column(2).to_pylist()]
+            keys = [sorted({xxh64_intdigest(x) - (1 << 63) for x in own}) for own in lines]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64()))], schema=_PAGE)
+
+
+_KEPT = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
+
+
+def _cut(batches):
+    """Pages without the lines whose hashes are in their ``gone``."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            rows = []
+            part = batch.slice(a, 256)
+            for page, host, lines, gone in zip(*(c.to_pylist() for c in part.columns)):
+                kept = lines
+                if gone:
+                    gone = set(gone)
+                    kept = [x for x in lines if xxh64_intdigest(x) - (1 << 63) not in gone]
+                rows.append((page, host, len(lines), len(lines) - len(kept), "\n".join(kept)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KEPT.types)], schema=_KEPT)
 
 
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, salts: int = SALTS) -> DataFrame:
-    """Per page: page_id, host, n_lines, n_dropped, text (the kept lines)."""
-    rows = pages.select(
-        "page_id",
-        F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1)).alias("host"),
-        lines_of(F.col("html").cast("string")).alias("lines"),
-    )
+    """Per page: page_id, host, n_lines, n_dropped, text (the kept lines).
+
+    Pages are parsed once and written; counts and the last step read that table."""
+    host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), HOST, 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    rows = written(rows.mapInArrow(_parsed, "page_id long, host string, lines array<string>, keys array<long>"), "pages")
     hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    seen = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line"))
+    seen = rows.select("host", F.explode("keys").alias("line"))
     seen = seen.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    common = seen.join(hosts, "host").where(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.collect_set("line").alias("common"))
+    common = seen.join(hosts, "host").where(F.col("n") > F.col("pages") * F.lit(ratio)).groupBy("host").agg(F.collect_list("line").alias("common"))
     common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(salts)).cast("int"))
     met = salted.join(common, ["host", "salt"], "left")
-    kept = F.when(F.col("common").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("common"), F.xxhash64(x))))
-    met = met.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-    return met.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    gone = F.array_intersect("keys", "common")  # by a hash set, linear in both
+    return met.select("page_id", "host", "lines", gone.alias("gone")).mapInArrow(_cut, "page_id long, host string, n_lines long, n_dropped long, text string")
 
 
 ORACLE = f"""

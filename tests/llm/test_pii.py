@@ -4,6 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.llm.planted import corpus
 from tidewater.llm import pii
 
 BASE = {
@@ -40,6 +41,7 @@ def compare(spark, texts):
     for k, t in enumerate(texts):
         assert [tuple(s) for s in got[k].strict] == base(t), t
         assert {tuple(s) for s in got[k].strict} <= {tuple(s) for s in got[k].spans}
+        assert all(0 <= s.start < s.end <= len(t or "") for s in got[k].spans)
 
 
 ODD = [
@@ -96,13 +98,44 @@ def test_whole_table_and_empty(spark, sf):
     assert pii.personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_planted_spans_beyond_the_strict_ones(spark):
+    texts, planted = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    true = found = right = 0
+    kinds = set()
+    for r in pii.personal_data(df).collect():
+        extra = {(pii.ALL_KINDS[s.kind], s.start, s.end) for s in r.spans} - {(pii.ALL_KINDS[s.kind], s.start, s.end) for s in r.strict}
+        assert [tuple(s) for s in r.strict] == base(texts[r.doc_id])
+        true, found, right = true + len(planted[r.doc_id]), found + len(extra), right + len(extra & planted[r.doc_id])
+        kinds |= {s[0] for s in extra & planted[r.doc_id]}
+        assert all(a.end <= b.start for a, b in zip(r.spans, r.spans[1:]))
+    assert right >= 0.9 * true and right >= 0.9 * found, (right, true, found)
+    assert kinds == {"email", "card", "phone", "secret"}
+
+
+def test_more_than_the_base_on_the_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    rows = pii.op5_pii(spark, "/root/testdata/sf0.01").collect()
+    extra = [(docs[r.doc_id], *s.split(":")) for r in rows for s in r.spans.split(",") if s and s not in shown(base(docs[r.doc_id])).split(",")]
+    assert extra
+    for text, kind, a, b in extra:
+        a, b = int(a), int(b)
+        if kind == "secret":
+            assert re.search(r"(?i)token = .$", text[:a]), text[a - 20 : b]
+        else:
+            assert kind != "card" or luhn(text[a:b])
+    secrets = sum(len(re.findall(r"(?i)token = .[0-9a-f]{40}", t or "")) for t in docs.values())
+    assert sum(k == "secret" for _, k, _, _ in extra) >= 0.9 * secrets
+
+
 def test_em_finds_the_reliable_labeler():
     counts = [(0, (1, 1, 0, 1), 900), (0, (1, -1, 0, 1), 50), (0, (-1, 1, 0, -1), 400), (0, (-1, -1, 0, -1), 500)]
     post, rates = pii.reliabilities(counts)
     assert post[0, (1, 1, 0, 1)] > 0.95 and post[0, (-1, -1, 0, -1)] < 0.05
     assert rates[0][0][0] > rates[0][0][1]
-    weight = pii.classifier([(k, v, 1, n) for k, v, n in counts], post)
-    assert sum(weight.get(x, 0) for x in pii._features(0, (1, 1, 0, 1), 1)) > 0
+    weight = pii.classifier([(k, v, [1]) for k, v, n in counts for _ in range(n // 50)], post)
+    score = lambda v: sum(weight.get(x, 0) for x in pii.features(0, v, [1]))
+    assert score((1, 1, 0, 1)) > 2 > -2 > score((-1, -1, 0, -1))
 
 
 @settings(max_examples=50, deadline=None)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tidewater.llm import toxicity
 
@@ -48,6 +49,51 @@ def test_first_epoch_reads_all_windows(monkeypatch):
     assert Counting.drawn == 6 * 11000 * toxicity.WINDOW
 
 
+def plain_score(model, text):
+    """The score by plain loops: mean over the n-grams of a word, mean over the words of a window, worst window."""
+    table, bias = model
+    words = []
+    for w in (text or "").lower().split():
+        if not words or words[-1] != w:
+            words.append(w)
+    if not words:
+        return 0.0
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + c + 1) % 2**64
+        return h * 0x9E3779B97F4A7C15 % 2**64 >> 46
+
+    def word(w):
+        raw = b"<" + w.encode().strip(toxicity._TRIM) + b">"
+        found = [table[bucket(raw[k : k + n])] for n in toxicity.GRAMS for k in range(len(raw) - n + 1)]
+        return sum(map(float, found)) / len(found) if found else 0.0
+
+    starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+    windows = [words[a : a + toxicity.WINDOW] for a in starts]
+    worst = max(sum(map(word, own)) / len(own) for own in windows)
+    return 1 / (1 + np.exp(-np.clip(worst + bias, -60, 60)))
+
+
+def test_scores_are_those_of_plain_loops():
+    rng = np.random.default_rng(5)
+    model = (rng.normal(0, 30, toxicity.BUCKETS).astype(np.float32), -0.3)
+    words = ["été", "a", "!!", "Wörter", "x" * 40, "of", "of", "idiot,", "naïve."]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 5, 11, 12, 13, 18, 19, 60, 200)] + ["", " ", "!!"]
+    assert toxicity.Scorer(*model).scores(texts) == pytest.approx([plain_score(model, t) for t in texts], abs=1e-6)
+
+
+def test_held_out_recall_on_the_table(spark):
+    """The ceiling on these labels is about 0.96: 4 of the 97 have no word that marks the others."""
+    sf = "/root/testdata/sf0.1"
+    labels = dict(tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect())
+    rows = [(r.predicted, labels[r.doc_id]) for r in toxicity.op6_toxicity(spark, sf).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    caught, toxic = sum(p and y for p, y in rows), sum(y for _, y in rows)
+    flagged, clean = sum(p and not y for p, y in rows), sum(not y for _, y in rows)
+    assert toxic > 50 and caught >= 0.9 * toxic and flagged <= 0.03 * clean, (caught, toxic, flagged, clean)
+
+
 def test_one_class_or_nothing():
     table, bias = toxicity.train(["a b", "c"], [0, 0])
     assert toxicity.Scorer(table, bias).scores(["a b"])[0] < 1e-9

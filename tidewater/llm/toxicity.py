@@ -36,6 +36,8 @@ GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 #: Labelled documents that training reads at most, in the order of a hash of their id.
 MAX_TOXIC, MAX_CLEAN = 1500, 4000
+#: Words of labelled documents after which training reads no further one (four bytes each on the driver).
+MAX_WORDS = 24_000_000
 CACHE = 600_000
 #: Words seen in fewer labelled documents teach nothing but that document's label.
 MIN_DOCS = 3
@@ -106,14 +108,20 @@ def train(texts, labels, **options) -> tuple[np.ndarray, float]:
 
 
 def train_rows(rows, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(one number for each bucket, bias) from (text, label) rows, read once and not kept. Each epoch fits the worst window of each document
-    (first epoch: all windows), so that only a window that has the evidence learns it."""
+    """(one number for each bucket, bias) from (text, label) rows, read once and not kept, until they have ``MAX_WORDS`` words.
+
+    Each epoch fits the worst window of each document (first epoch: all windows), so that only a
+    window that has the evidence learns it. The model is the mean over the second half of the epochs."""
     rng = np.random.default_rng(seed)
     known: dict[bytes, int] = {}
     docs, y_doc = [], []
+    total = 0
     for text, label in rows:
         docs.append(np.array([known.setdefault(w.strip(_TRIM), len(known)) for w in split(text)], np.int32))
         y_doc.append(label)
+        total += len(docs[-1])
+        if total >= MAX_WORDS:
+            break
     seen = np.bincount(np.concatenate([np.unique(d) for d in docs] or [np.zeros(0, np.int32)]), minlength=len(known))
     used = np.flatnonzero(seen >= MIN_DOCS)
     place = np.full(len(known), -1, np.int32)
@@ -142,6 +150,7 @@ def train_rows(rows, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple
     bias = np.zeros(2, np.float32)
     g_emb, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((2, DIM), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     weight = np.where(y_doc > 0, 0.5 / y_doc.mean(), 0.5 / (1 - y_doc.mean()))
+    mean, mean_bias, taken = np.zeros(BUCKETS, np.float32), 0.0, 0
     for epoch in range(epochs):
         if epoch == 0:
             pick = rng.permutation(len(of))
@@ -179,7 +188,12 @@ def train_rows(rows, epochs: int = 8, rate: float = 0.5, seed: int = 7) -> tuple
             soft -= 0.1 * d_soft / np.sqrt(g_soft)
             g_bias += d_bias**2
             bias -= 0.1 * d_bias / np.sqrt(g_bias)
-    return (emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0])
+        if 2 * epoch >= epochs:
+            mean += emb @ (soft[1] - soft[0])
+            mean_bias, taken = mean_bias + float(bias[1] - bias[0]), taken + 1
+    if not taken:
+        return emb @ (soft[1] - soft[0]), float(bias[1] - bias[0])
+    return mean / taken, mean_bias / taken
 
 
 def _window_logits(table_, flat, at, some, size, words, lo, ln):
@@ -247,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     own = own.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("id"), F.col("id")]
     picked = own.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(own.where("toxic = 0").orderBy(*order).limit(max_clean))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id").orderBy("id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id", "text")
     return train_rows((r.text, r.toxic) for r in rows.toLocalIterator())
 
 

@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,58 @@ def test_interval_bounds(spark):
     assert sorted(r.r_v for r in opened.collect()) == [0, 7]
 
 
+def test_interval_join_over_slots(spark):
+    """Against plain loops, with a hot key, ties on slot bounds and times before 1970."""
+    rnd = random.Random(2)
+    left = [(rnd.choice((1, 1, 1, 2, None)), T0 + rnd.randint(-60, 60) * SECOND, i) for i in range(150)]
+    right = [(rnd.choice((1, 1, 2, 3, None)), T0 + rnd.randint(-60, 60) * SECOND, i) for i in range(150)]
+    back = datetime.timedelta(days=25000)
+    left, right = left + [(1, t - back, 1000 + i) for _, t, i in left], right + [(1, t - back, 1000 + i) for _, t, i in right]
+    frames = [spark.createDataFrame(r, "k int, ts timestamp, v int") for r in (left, right)]
+    for lower, upper, opened in ((-2, 7, False), (-5, -5, False), (3, 9, True)):
+        got = joins.interval_join(*frames, "k", f"{lower} SECONDS", f"{upper} seconds", opened)
+        want = [(i, j) for k, t, i in left for m, u, j in right if k is not None and k == m and t + lower * SECOND <= u <= t + upper * SECOND and not (opened and u == t + lower * SECOND)]
+        assert sorted((r.l_v, r.r_v) for r in got.collect()) == sorted(want)
+
+
+def test_as_of_over_slots(spark):
+    rnd = random.Random(3)
+    history = [(k, T0 + s * SECOND, f"{k}{s}") for k in "ab" for s in rnd.sample(range(0, 900, 3), 12)]
+    rows = [(rnd.choice("abc"), T0 + rnd.randint(-10, 1000) * SECOND, i) for i in range(400)]
+    got = joins.as_of(spark.createDataFrame(rows, "k string, ts timestamp, id int"), spark.createDataFrame(history, "k string, since timestamp, task string"), "k", "ts", "since", slot_s=60)
+    want = [(i, max((s, x) for m, s, x in history if m == k and s <= t)[1]) for k, t, i in rows if any(m == k and s <= t for m, s, _ in history)]
+    assert sorted((r.id, r.task) for r in got.collect()) == sorted(want)
+
+
+def test_lateness_and_batches_over_slots(spark):
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice(("a", "a", "a", "b", None)), T0 + (k // 2 + rnd.randint(-90, 5)) * SECOND) for k in range(500)]
+    df = spark.createDataFrame(rows, "arrival long, behavior string, ts timestamp")
+    small = windows.running_max_before(df, "behavior", "arrival", F.unix_micros("ts"), "high", slot=7)
+    whole = windows.running_max_before(df, "behavior", "arrival", F.unix_micros("ts"), "high")
+    high, want = {}, {}
+    for k, b, t in rows:
+        want[k] = high.get(b)
+        high[b] = max(high.get(b, t), t)
+    micro = lambda t: None if t is None else round(t.replace(tzinfo=datetime.timezone.utc).timestamp() * 1e6)
+    for got in (small, whole):
+        assert {r.arrival: r.high for r in got.collect()} == {k: micro(t) for k, t in want.items()}
+    numbered = [keyed.count_batches(df, "behavior", "arrival", 9, slot).collect() for slot in (11, 100_000)]
+    assert sorted(map(str, numbered[0])) == sorted(map(str, numbered[1])) and len(numbered[0]) == 500
+    assert all(r.batch_no == sum(b == r.behavior and k < r.arrival for k, b, _ in rows) // 9 for r in numbered[0])
+
+
+def test_followed_by_is_linear(spark):
+    """Two hundred thousand rows of one key."""
+    df = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") % 1000 == 999).alias("hit"))
+    began = time.perf_counter()
+    got = patterns.followed_by(df, "k", "id", 3, F.col("hit"), "end").agg(F.count("end"), F.sum("end")).first()
+    assert time.perf_counter() - began < 5
+    ends = [next((e for e in range(i + 3 + (999 - (i + 3)) % 1000, 200_000, 1000)), None) for i in range(200_000)]
+    ends = [e for e in ends if e is not None]
+    assert tuple(got) == (len(ends), sum(ends))
+
+
 def test_chosen_statistic_in_any_case(spark):
     df = spark.createDataFrame([(m, v) for m in ("sum", "COUNT", "Min", "max", "other") for v in (3, 1, 2)], "m string, v long")
     got = df.groupBy("m").agg(aggregates.chosen_statistic(F.col("m"), F.col("v")).alias("s")).collect()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import carried
+
 
 def small_then_large(df: DataFrame, key: str, small: float, large: float, timeout_us: int) -> DataFrame:
     """Alerts with the exact timer semantics: each small amount registers a timer, the earliest
@@ -21,9 +23,17 @@ def small_then_large(df: DataFrame, key: str, small: float, large: float, timeou
     return rows.where((F.col("value") > large) & (F.col("flag") + timeout_us > F.col("us"))).drop("us", "s_", "smin", "flag")
 
 
-def count_batches(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
-    """``df`` with batch_no: every ``size`` rows of a key in order are a batch."""
-    return df.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).cast("long"))
+def count_batches(df: DataFrame, key: str, order: str, size: int, slot: int = 100_000) -> DataFrame:
+    """``df`` with batch_no: every ``size`` rows of a key in order are a batch.
+
+    Rows are numbered inside slots of the order, plus the rows of earlier slots, so that few keys
+    with many rows are spread over tasks."""
+    rows = df.withColumn("s_", F.floor(F.col(order) / F.lit(slot)))
+    before = carried(rows.groupBy(key, "s_").agg(F.count("*").alias("n_")), key, "s_", F.sum("n_"), "before_")
+    rows = rows.withColumn("at_", F.row_number().over(Window.partitionBy(key, "s_").orderBy(order)))
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("ck_")) & F.col("s_").eqNullSafe(F.col("cs_")))
+    number = F.floor((F.col("at_") + F.coalesce("before_", F.lit(0)) - 1) / size).cast("long")
+    return rows.withColumn("batch_no", number).drop("s_", "at_", "before_", "ck_", "cs_")
 
 
 def changes(df: DataFrame, key: str, order: str, column: str) -> DataFrame:

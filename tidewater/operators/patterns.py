@@ -30,8 +30,10 @@ def strict(df: DataFrame, key: str, order: str, conditions: list, carry: list[st
 
 
 def followed_by(df: DataFrame, key: str, order: str, after: int, condition: Column, name: str) -> DataFrame:
-    """``df`` with the order value of the first row that meets ``condition``, ``after`` or more rows later."""
-    later = Window.partitionBy(key).orderBy(order).rowsBetween(after, Window.unboundedFollowing)
+    """``df`` with the order value of the first row that meets ``condition``, ``after`` or more rows later.
+
+    In descending order the later rows are a growing frame, so the minimum is kept up and the cost is linear."""
+    later = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -after)
     return df.withColumn(name, F.min(F.when(condition, F.col(order))).over(later))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import carried
+
 
 def tumbling(df: DataFrame, size: str, offset: str | None = None, ts: str = "ts") -> DataFrame:
     """``df`` with window_start and window_end; a negative offset shifts the day of a zone east of UTC."""
@@ -22,17 +24,17 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
     return df.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rnk") <= n)
 
 
-def early_firings(df: DataFrame, window: Column, tick: Column, user: str) -> DataFrame:
+def early_firings(df: DataFrame, window: Column, tick: Column, user: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative pv and uv of each window at each tick that has rows: what a continuous trigger emits.
 
     Distinct users are counted at the first tick that has them, so both are plain running sums."""
-    ticks = df.select(window.alias("window_start"), tick.alias("tick"), F.col(user).alias("user"))
-    per_user = ticks.groupBy("window_start", "user", "tick").agg(F.count("*").alias("pv"))
-    first = Window.partitionBy("window_start", "user").orderBy("tick")
+    ticks = df.select(window.alias("window_start"), tick.alias("tick"), F.col(user).alias("user"), *keys)
+    per_user = ticks.groupBy("window_start", *keys, "user", "tick").agg(F.count("*").alias("pv"))
+    first = Window.partitionBy("window_start", *keys, "user").orderBy("tick")
     per_user = per_user.withColumn("new", F.when(F.row_number().over(first) == 1, 1).otherwise(0))
-    per_tick = per_user.groupBy("window_start", "tick").agg(F.sum("pv").alias("pv"), F.sum("new").alias("uv"))
-    upto = Window.partitionBy("window_start").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    return per_tick.select("window_start", "tick", F.sum("pv").over(upto).alias("pv"), F.sum("uv").over(upto).alias("uv"))
+    per_tick = per_user.groupBy("window_start", *keys, "tick").agg(F.sum("pv").alias("pv"), F.sum("new").alias("uv"))
+    upto = Window.partitionBy("window_start", *keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    return per_tick.select("window_start", *keys, "tick", F.sum("pv").over(upto).alias("pv"), F.sum("uv").over(upto).alias("uv"))
 
 
 def fixed_rate(df: DataFrame, seconds: int, by: str) -> DataFrame:
@@ -52,11 +54,40 @@ def dynamic(df: DataFrame, size_s: str, start_s: str, ts: str = "ts") -> DataFra
     return df.withColumn("window_start_s", start.cast("long")).withColumn("window_end_s", (start + F.col(size_s)).cast("long"))
 
 
+def running_max_before(df: DataFrame, by: str, arrival: str, value: Column, name: str, slot: int = 100_000) -> DataFrame:
+    """``df`` with the largest ``value`` of the rows of ``by`` that arrived before.
+
+    Rows are cut into slots of ``slot`` arrivals: a running maximum inside the slot, and what earlier
+    slots carry over, so that a key with most of the rows is not one task."""
+    rows = df.withColumn("v_", value).withColumn("s_", F.floor(F.col(arrival) / F.lit(slot)))
+    totals = rows.groupBy(by, "s_").agg(F.max("v_").alias("v_"))
+    before = carried(totals, by, "s_", F.max("v_"), "before_")
+    seen = Window.partitionBy(by, "s_").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own_", F.max("v_").over(seen))
+    rows = rows.join(before, F.col(by).eqNullSafe(F.col("ck_")) & F.col("s_").eqNullSafe(F.col("cs_")))
+    return rows.withColumn(name, F.greatest("own_", "before_")).drop("v_", "s_", "own_", "before_", "ck_", "cs_")
+
+
 def lateness(df: DataFrame, by: str, arrival: str, size: str, delay_s: int, allowed_s: int) -> DataFrame:
     """``df`` with its tumbling window and ``late``: the watermark (largest earlier time less the
-    delay) had passed the window's last instant plus the allowed lateness when the row came."""
-    seen = Window.partitionBy(by).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = tumbling(df, size)
-    mark = F.max(F.unix_micros("ts")).over(seen) - F.lit(delay_s * 1_000_000)
-    last = F.unix_micros("window_end") - F.lit(1000) + F.lit(allowed_s * 1_000_000)
-    return rows.withColumn("late", F.coalesce(last <= mark, F.lit(False)))
+    delay) had passed the window's last instant plus the allowed lateness when the row came.
+    ``refire``: it had passed the last instant alone, so the row fires its window once more."""
+    rows = running_max_before(tumbling(df, size), by, arrival, F.unix_micros("ts"), "high_")
+    mark = F.col("high_") - F.lit(delay_s * 1_000_000)
+    last = F.unix_micros("window_end") - F.lit(1000)
+    late = F.coalesce(last + F.lit(allowed_s * 1_000_000) <= mark, F.lit(False))
+    return rows.withColumn("late", late).withColumn("refire", F.coalesce(last <= mark, F.lit(False)) & ~late).drop("high_")
+
+
+def firings(rows: DataFrame, by: str, arrival: str, ident: str) -> DataFrame:
+    """What a window with allowed lateness emits, from the rows of ``lateness``: the count of its rows
+    in time at its end (``ident`` null), then the count so far for each row that comes late but allowed."""
+    kept = rows.where("not late")
+    first = kept.where("not refire").groupBy(by, "window_end").agg(F.count("*").alias("cnt"))
+    again = Window.partitionBy(by, "window_end").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+    more = kept.where("refire").select(by, "window_end", F.col(ident), F.count("*").over(again).alias("n_"))
+    base = first.select(F.col(by).alias("fb_"), F.col("window_end").alias("fw_"), F.col("cnt").alias("c_"))
+    more = more.join(base, F.col(by).eqNullSafe(F.col("fb_")) & (F.col("window_end") == F.col("fw_")), "left")
+    more = more.select(by, "window_end", ident, (F.col("n_") + F.coalesce("c_", F.lit(0))).alias("cnt"))
+    none = F.lit(None).cast(rows.schema[ident].dataType)
+    return first.select(by, "window_end", none.alias(ident), "cnt").unionByName(more)

@@ -28,7 +28,7 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query(spark, con, name):
     df = catalog.queries()[name](spark, DIR)
     rel = con.sql(catalog.oracle_sql()[name])

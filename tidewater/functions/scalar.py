@@ -50,3 +50,32 @@ def pad_code(value: Column, width: int) -> Column:
 def local_to_millis(ts: Column, zone: str = "Asia/Shanghai") -> Column:
     """Epoch milliseconds of a wall-clock time in ``zone``."""
     return F.unix_millis(F.to_utc_timestamp(ts, zone))
+
+
+def random_digits(n: int, seed: Column, salt: int = 0) -> Column:
+    """``n`` digits made from ``seed``: the same seed gives the same text again."""
+    return _random_text("0123456789", n, seed, salt)
+
+
+def random_letters(seed: Column, n: int = 11, salt: int = 0) -> Column:
+    """``n`` letters of both cases made from ``seed``."""
+    return _random_text("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", n, seed, salt)
+
+
+def _random_text(alphabet: str, n: int, seed: Column, salt: int) -> Column:
+    pick = lambda k: F.substr(F.lit(alphabet), (F.pmod(F.xxhash64(F.lit(salt), seed, k), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), pick), "") if n > 0 else F.lit("")
+
+
+def basic_auth(user: Column, password: Column) -> Column:
+    return F.concat(F.lit("Basic "), F.base64(F.concat_ws(":", user, password).cast("binary")))
+
+
+def day_before(ts: Column) -> Column:
+    """The day before, as ``yyyy-MM-dd``."""
+    return F.date_format(F.date_sub(F.to_date(ts), 1), "yyyy-MM-dd")
+
+
+def prefixed(value: Column) -> Column:
+    """``value`` behind the number of the task that handles it and the time it is handled."""
+    return F.concat_ws("|", F.spark_partition_id().cast("string"), F.unix_millis(F.current_timestamp()).cast("string"), value.cast("string"))

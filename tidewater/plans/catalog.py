@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 def _load() -> None:
-    from . import batch  # noqa: F401  registers its queries
+    from . import batch, more  # noqa: F401  register their queries
 
 
 def queries() -> dict:

@@ -52,10 +52,40 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_small_tiles_and_chunks(spark):
+    rows = clustered(2, 500, 8)
+    assert run(spark, rows, interval=20, tile=2, chunks=4) == brute(rows)
+    assert run(spark, rows, interval=500, tile=1, chunks=1) == brute(rows)
+
+
 def test_distant_intervals_are_skipped():
-    boxes = [(str(k), 2, np.array([k, 0.0]), np.array([k + 0.5, 0.5])) for k in range(8)]
-    pairs = {tuple(sorted(p)) for p in embedding.near_pairs(boxes, 0.6)}
-    assert pairs == {(str(k), str(k)) for k in range(8)} | {(str(k), str(k + 1)) for k in range(7)}
+    low = np.array([[k, 0.0] for k in range(100)])
+    run_ = (np.full(100, 2), low, low + 0.5)
+    pairs = {(int(i), int(j)) for x, y in embedding.near_pairs(run_, None, 0.6, leaf=4) for i, j in zip(x, y)}
+    assert pairs == {(k, k) for k in range(100)} | {(k, k + 1) for k in range(99)}
+
+
+def test_recursion_finds_every_near_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n, m = rng.integers(1, 60, 2)
+        runs = []
+        for size in (n, m):
+            low = rng.normal(size=(size, 3))
+            runs.append((np.sort(rng.integers(2, 4, size)), low, low + rng.random((size, 3)) / 3))
+        gap = lambda a, b: sum(max(0, a[1][k] - b[2][k], b[1][k] - a[2][k]) ** 2 for k in range(3))
+        for right in (None, runs[1]):
+            other = runs[0] if right is None else right
+            one, two = list(zip(*runs[0])), list(zip(*other))
+            want = {(i, j) for i, a in enumerate(one) for j, b in enumerate(two) if a[0] == b[0] and gap(a, b) <= 0.16 + 1e-9 and (right is not None or i <= j)}
+            got = [tuple(sorted((int(i), int(j)))) if right is None else (int(i), int(j)) for x, y in embedding.near_pairs(runs[0], right, 0.4, leaf=3) for i, j in zip(x, y)]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_packing_loses_nothing():
+    for values in ([1.0, 0.5, np.float64(np.float32(0.1))], [0.1, 1.0, 1e300]):
+        raw = np.array(values).tobytes()
+        assert embedding._unpacked(embedding._packed([raw]), 1, 3).tobytes() == raw
 
 
 def test_whole_table(spark, sf):

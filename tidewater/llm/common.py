@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,19 +75,34 @@ def with_text_first(df: DataFrame) -> tuple[DataFrame, StructType]:
     return df.select(F.col("text").cast("string").alias("t"), *named), schema
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 64):
+    """Plans made and run inside hand at most ``rows`` rows at a time to a worker, for rows that are large."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` of longs: ``(id, comp)``.
 
     ``comp`` is the smallest id of the component. Nodes without an edge to another
     node are not returned; nulls and self-loops are ignored; no edges give no rows.
     Alternates large-star and small-star steps (each a partial minimum by node and
-    an equi-join, which adaptive execution splits at hub nodes) until the stars
-    stand still; edges are written to the shared folder after each round.
+    an equi-join, which adaptive execution splits at hub nodes) until all edges are
+    stars; edges are written to the shared folder after each round.
     """
     cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     cur = written(cur.where("u is not null and v is not null and u <> v").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
+        # stars: no node has two centres, and no centre has one
+        twice = cur.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if twice.unionByName(cur.select("u").join(cur.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
+            break
         sym = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -94,10 +110,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = large.join(low, "u")
         small = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         cur = written(small.distinct(), "edges")
-        now = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
     else:
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("id")).distinct()

@@ -1,9 +1,12 @@
 """WARC archives with a two-level capture index.
 
 Archives are one gzip member per record. The index is sorted by reversed-host key
-(SURT) into compressed blocks of captures; a sparse directory keeps the first key, the
-place and the size of each block. A look-up searches the directory by bisection, reads
-one block (or the few that hold a key) by range, and reads the record by range.
+(SURT) and page into files of compressed blocks of captures; each file ends with its sparse
+directory, the first and last entry, place and size of each of its blocks, and a table
+has one row for each file. A look-up finds the file among these rows by bisection, reads its
+directory by range, finds the block (or the few that hold the key) in it by bisection, reads that by
+range, finds the captures in it by bisection, and reads their records by range. Files are
+the partitions of the sort, so what all tasks and the driver hold does not grow with the captures.
 
 Defined cases: a null html is an empty payload; payloads below ``MIN_REVISIT`` bytes
 are always responses; of larger equal payloads the one with the smallest page_id is
@@ -140,42 +143,54 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return written(joined.mapInArrow(_archiver(folder, archive_bytes), "key string, page_id long, file string, place long, size long"), "captures")
 
 
-_BLOCK = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("n", pa.int64())])
+_FILE = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("n", pa.int64())])
+_FILE_SQL = "first string, last string, file string, place long, size long, n long"
+
+
+def _entry(key: str, page: int | None) -> tuple:
+    """What captures are sorted by, as Spark sorts them: no page before all pages."""
+    return key, page is not None, page or 0
 
 
 def _indexer(folder: str, block: int):
     def run(batches):
-        out, path, at, held = None, f"{folder}/index-{uuid.uuid4().hex}.cdx", 0, []
+        out, path, at, held, blocks = None, f"{folder}/index-{uuid.uuid4().hex}.cdx", 0, [], []
 
-        def flush():
+        def put(lines) -> tuple[int, int]:
             nonlocal out, at
             out = out or open_out(path)
-            raw = zlib.compress("".join(json.dumps(r) + "\n" for r in held).encode())
+            raw = zlib.compress("".join(json.dumps(r) + "\n" for r in lines).encode())
             out.write(raw)
-            row = (held[0][0], held[-1][0], path, at, len(raw), len(held))
             at += len(raw)
+            return at - len(raw), len(raw)
+
+        def flush():
+            place, size = put(held)
+            blocks.append((_entry(*held[0][:2]), _entry(*held[-1][:2]), place, size, len(held)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCK.types)], schema=_BLOCK)
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 held.append(row)
                 if len(held) >= block:
-                    yield flush()
+                    flush()
         if held:
-            yield flush()
-        if out is not None:
+            flush()
+        if blocks:
+            place, size = put(blocks)
             out.close()
+            row = (json.dumps(blocks[0][0]), json.dumps(blocks[-1][1]), path, place, size, sum(b[4] for b in blocks))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _FILE.types)], schema=_FILE)
 
     return run
 
 
 def write_index(captures: DataFrame, block: int = BLOCK_CAPTURES) -> DataFrame:
-    """Sorts captures by key into compressed blocks; returns the sparse directory."""
+    """Sorts captures by key into files of compressed blocks; returns the table of files."""
     folder = scratch(captures.sparkSession, "cdx")
     order = ["key", "page_id", "file", "place"]
     rows = captures.select("key", "page_id", "file", "place", "size").repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(rows.mapInArrow(_indexer(folder, block), "first_key string, last_key string, file string, place long, size long, n long"), "directory")
+    return written(rows.mapInArrow(_indexer(folder, block), _FILE_SQL), "directory")
 
 
 def _range(file: str, place: int, size: int) -> bytes:
@@ -183,38 +198,106 @@ def _range(file: str, place: int, size: int) -> bytes:
         return f.read_at(size, place)
 
 
-def read_block(file: str, place: int, size: int) -> list[list]:
+def read_lines(file: str, place: int, size: int) -> list[list]:
+    """A block of captures, or the directory of a file."""
     return [json.loads(x) for x in zlib.decompress(_range(file, place, size)).splitlines()]
 
 
 class Captures:
-    """Look-up of single urls through the directory, which is one row for each
-    ``BLOCK_CAPTURES`` captures and is held sorted."""
-
-    def __init__(self, directory: DataFrame):
-        self.blocks = sorted(tuple(r) for r in directory.select("first_key", "last_key", "file", "place", "size").collect())
-        self.last = [b[1] for b in self.blocks]
-
-    def find(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        key, found = surt(url), []
-        for first, _, file, place, size in self.blocks[bisect.bisect_left(self.last, key) :]:
-            if first > key:
+    """Look-up by bisection; holds one row for each index file and the directory read last."""
+
+    def __init__(self, files: list[tuple]):
+        self.files = sorted((tuple(json.loads(first)), tuple(json.loads(last)), *rest) for first, last, *rest in files)
+        self.last = [f[1] for f in self.files]
+        self.held: tuple = (None, [], [])
+
+    @classmethod
+    def of(cls, directory: DataFrame) -> Captures:
+        return cls([tuple(r) for r in directory.collect()])
+
+    def blocks(self, low: tuple, high: tuple) -> list[tuple[str, int, int]]:
+        """(file, place, size) of the blocks that may hold entries from ``low`` to ``high``."""
+        found = []
+        for first, _, file, place, size, _ in self.files[bisect.bisect_left(self.last, low) :]:
+            if first > high:
                 break
-            rows = read_block(file, place, size)
-            for k, _, f, p, n in rows[bisect.bisect_left(rows, key, key=lambda r: r[0]) :]:
-                if k != key:
+            if self.held[0] != file:
+                own = [(tuple(a), tuple(b), p, n) for a, b, p, n, _ in read_lines(file, place, size)]
+                self.held = (file, own, [b[1] for b in own])
+            _, own, last = self.held
+            for a, _, p, n in own[bisect.bisect_left(last, low) :]:
+                if a > high:
                     break
+                found.append((file, p, n))
+        return found
+
+    def find(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+        """Headers and payloads of all captures of ``url``."""
+        low, high, found = (surt(url), False, 0), (surt(url), True, 1 << 63), []
+        for file, place, size in self.blocks(low, high):
+            for _, _, f, p, n in between(read_lines(file, place, size), low, high):
                 found.append(parse(_range(f, p, n)))
         return found
 
 
+def between(rows: list[list], low: tuple, high: tuple) -> list[list]:
+    """The captures of a block from ``low`` to ``high``."""
+    entry = lambda r: _entry(r[0], r[1])
+    return rows[bisect.bisect_left(rows, low, key=entry) : bisect.bisect_right(rows, high, key=entry)]
+
+
+def _keys(batches):
+    schema = pa.schema([("key", pa.string()), ("page_id", pa.int64())])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(1).to_pylist()], pa.string()), batch.column(0)], schema=schema)
+
+
+_WANTED = pa.schema([("file", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("key", pa.string()), ("page_id", pa.int64())])
+
+
+def _blocks(files):
+    def run(batches):
+        captures = Captures(files.value)
+        for batch in batches:
+            rows = []
+            for key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                entry = _entry(key, page)
+                rows += [(*b, key, page) for b in captures.blocks(entry, entry)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _WANTED.types)], schema=_WANTED)
+
+    return run
+
+
 def _captures(batches):
+    """Captures of the wanted entries; each block is read once, as its rows come together."""
+    now, lines = None, []
     for batch in batches:
-        for file, place, size in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            rows = read_block(file, place, size)
+        rows = []
+        for file, place, size, key, page in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, place) != now:
+                now, lines = (file, place), read_lines(file, place, size)
+            entry = _entry(key, page)
+            rows += between(lines, entry, entry)
+        if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CAPTURE.types)], schema=_CAPTURE)
 
 
+def look_up(directory: DataFrame, pages: DataFrame) -> DataFrame:
+    """The captures (key, page_id, file, place, size) of the urls and ids of ``pages``, through the index.
+
+    Entries are looked up once each, in order, so that a task reads each directory once; then
+    blocks are dealt, and read once. An entry that fills many blocks is spread over those."""
+    spark = pages.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    keys = rows.mapInArrow(_keys, "key string, page_id long").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    files = spark.sparkContext.broadcast([tuple(r) for r in directory.collect()])  # one row for each partition of the sort
+    wanted = keys.mapInArrow(_blocks(files), "file string, place long, size long, key string, page_id long")
+    wanted = wanted.repartition(n, "file", "place").sortWithinPartitions("file", "place", "key", "page_id")
+    return wanted.mapInArrow(_captures, "key string, page_id long, file string, place long, size long")
+
+
 _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
@@ -239,15 +322,16 @@ def _records(batches):
         f.close()
 
 
-def read_archives(directory: DataFrame) -> DataFrame:
-    """All records, found through the index and read by range in the order of the archives."""
-    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = directory.select("file", "place", "size").repartition(n, "file", "place").mapInArrow(_captures, "key string, page_id long, file string, place long, size long")
+def read_archives(captures: DataFrame) -> DataFrame:
+    """The records of ``captures``, read by range in the order of the archives."""
+    n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     megabytes = F.floor(F.col("place") / F.lit(8 << 20))
-    found = found.repartition(n, "file", megabytes).sortWithinPartitions("file", "place")
+    found = captures.repartition(n, "file", megabytes).sortWithinPartitions("file", "place")
     return found.select("file", "place", "size").mapInArrow(_records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = write_index(write_archives(table(spark, sf_dir, "pages")))
-    return read_archives(directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the archives and their index, looks every page up in it, and reads the records found."""
+    pages = table(spark, sf_dir, "pages")
+    directory = write_index(write_archives(pages))
+    return read_archives(look_up(directory, pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidewater.llm import ngram_join as nj
@@ -56,7 +57,7 @@ def run(spark, rows, **options):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, **{"width": 4, "percent": 85, **options}).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"boundary": 0, "weight": 700}, {"boundary": 16}])
+@pytest.mark.parametrize("options", [{}, {"boundary": 0, "weight": 700}, {"boundary": 16}, {"weight": 1500, "part_keys": 40, "batch_docs": 7}])
 def test_against_brute_force(spark, options):
     rows = corpus(len(options) + options.get("boundary", 3))
     assert run(spark, rows, **options) == brute(rows)
@@ -87,6 +88,39 @@ def test_odd_rows(spark):
     assert nj.jaccard_components(df.limit(0)).collect() == []
 
 
+def test_heavy_classes_and_chains(spark):
+    """Near copies in two families that share a passage, and chains in which only neighbours are similar."""
+    rnd = random.Random(12)
+    word = lambda: f"u{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for family in range(2):
+        base = passage + [word() for _ in range(14 + 6 * family)]
+        for _ in range(150):
+            w = list(base)
+            for _ in range(rnd.choice((0, 0, 1, 1, 4))):
+                w[rnd.randrange(40, len(w))] = word()
+            rows.append(w)
+    chain = [word() for _ in range(60)]
+    for _ in range(80):
+        chain = chain[2:] + [word(), word()]
+        rows.append(list(chain))
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    want = brute(rows)
+    for weight in (900, 6000):
+        assert run(spark, rows, weight=weight) == want
+    assert len({c for _, c in want.values()}) > 3
+
+
+def test_parts_are_ranges():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    for parts in (1, 7, 1 << 20):
+        part = nj._part(keys, parts)
+        assert (np.diff(part.astype(np.int64)) >= 0).all() and part.max() < parts
+    assert (nj._keys(nj._planes(keys)) == keys).all()
+
+
 def test_boundary_by_cost():
     assert nj.choose_boundary([(5, 5, 100), (8, 8, 100)], 85) >= 8
     assert nj.choose_boundary([]) == 0

@@ -2,25 +2,28 @@
 
 1. Each text becomes its set of distinct shingles of ``width`` words (64-bit hashes).
    Shingles are counted once over the whole corpus: batches of documents send their
-   sorted shingle keys, dealt by key, in binary blocks, and get back which of them
-   another document has, with a class of the count. A set of n shingles of which more than
-   n - ceil(t * n) are nobody else's can have no partner and is done.
+   distinct keys with the number of their documents that have each, dealt by ranges of
+   the key, and get back a class of the sums; who has which key waits in a file of the
+   shared folder. A shingle that all documents have is one number for each batch. A set of
+   n shingles of which more than n - ceil(t * n) are nobody else's can have no partner and is done.
 2. Equal sets are one set from here on, under their smallest document id.
 3. Light sets (at most ``boundary`` shingles): each pair of sizes (n, m) needs a fixed
    overlap c, so every set enumerates its subsets of c shared shingles; sets that have a
    subset in common are linked, and a star by subset links them without any pair.
 4. Heavy sets: by prefix filter (rarest shingles first) sets that can be partners share a
    rare shingle; stars over these inverted lists give groups that hold every possible
-   pair. Groups are dealt in blocks of bounded weight, sorted by size, and each pair of
-   blocks whose sizes are compatible scans the inverted lists of the block to count
-   exact overlaps. Tasks return spanning edges only, never all pairs.
+   pair. A group of bounded weight is one task, which scans the group's inverted lists to
+   count exact overlaps. A heavier one is cut into cells by size class and by what its
+   stars have linked already, and pairs of cells are tasks. Tasks return spanning edges only,
+   never all pairs.
 5. Connected components of the edges.
 
 The boundary is chosen by cost: subsets to be enumerated against inverted-list entries,
 from a histogram of small sizes.
 
-Keys are 40 bits in one of R parts, R being spark.sql.shuffle.partitions, so a key stands
-for 40 + log2(R) bits of the hash, and links are exact up to collisions of these keys.
+Parts grow with the text (``PART_KEYS`` keys in each), so a task's memory does not. With
+more than some hundred thousand parts a block holds a few keys only, and the exchange costs
+what a plain shuffle of keys would. Links are exact up to collisions of 64-bit hashes.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are
 their own component; a text of fewer than ``width`` words is one shingle; repeated rows
@@ -31,23 +34,28 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, union_find, written
+from .common import components, few_rows, scratch, table, union_find, written
+from .files import open_in, open_out
 
 #: Near duplicates: shingles of five words, Jaccard of 80 % or more. The query ``op2`` has its own.
 WIDTH, PERCENT = 5, 80
 #: Documents and shingles of one batch; a batch's memory and its local document numbers.
-BATCH_DOCS, BATCH_SHINGLES = 32768, 2_000_000
+BATCH_DOCS, BATCH_SHINGLES = 32768, 1_500_000
 #: Largest boundary considered, and the cost of an inverted-list entry in subsets.
 MAX_LIGHT, LIST_COST = 24, 16
-#: Weight (shared shingles) of a block of a group of heavy sets.
-BLOCK_WEIGHT = 1 << 19
+#: Weight (shared shingles) of a group or cell of heavy sets that is compared in one task.
+BLOCK_WEIGHT = 1 << 17
+#: Candidates of one star that are checked in one task, and keys of a part that are counted together.
+STAR, PART_KEYS = 4096, 1 << 21
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _A = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,67 +81,76 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
-_BLOCK = pa.schema([("b", pa.string()), ("r", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary())])
-_BLOCK_SQL = "b string, r int, docs binary, keys binary, at binary"
-_DOC = np.dtype([("at", "<u2"), ("known", "u1"), ("id", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
+_BLOCK = pa.schema([("b", pa.int64()), ("r", pa.int32()), ("file", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_BLOCK_SQL = "b long, r int, file string, place long, size long, keys binary, counts binary"
+_DOC = np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<i8"), ("f1", "<u8"), ("f2", "<u8")])
 
 
 def _planes(keys: np.ndarray) -> bytes:
-    """Five byte planes of 40-bit keys; sorted keys make the upper planes compress."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T).tobytes()
+    """Byte planes of 64-bit keys; sorted keys make the upper planes compress."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T).tobytes()
 
 
 def _keys(raw: bytes) -> np.ndarray:
-    p = np.frombuffer(raw, np.uint8).reshape(5, -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, 4::-1] = p.T
-    return out.view("<u8").ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1)[::-1].T).view("<u8").ravel()
 
 
-def _send(parts: int, width: int):
-    """Documents to blocks of shingle keys, one for each batch and part."""
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key: equal ranges of the upper half, so parts of sorted keys are in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _send(parts: int, width: int, folder: str, most_docs: int):
+    """Documents to blocks of distinct shingle keys and how many documents of the batch have each, one for
+    each batch and part. Who has them stays in a file until the counts come back."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        seq, docs, sets, held = 0, [], [], 0
+        task = TaskContext.get().partitionId()
+        file = f"{folder}/batches-{task:06d}-{uuid.uuid4().hex[:12]}"
+        out, place, seq, docs, sets, held = None, 0, 0, [], [], 0
 
         def flush():
-            nonlocal seq, docs, sets, held
-            name = f"{context.stageId()}-{context.partitionId()}-{seq}"
+            nonlocal out, place, seq, docs, sets, held
             info = np.array(docs, _DOC)
-            size = info["n"]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at = np.repeat(info["at"], size)
-            part = (flat & np.uint64(0xFFFFFF)) % np.uint64(parts)
-            order = np.argsort((part << np.uint64(40)) | (flat >> np.uint64(24)))
-            key, at, part = (flat >> np.uint64(24))[order], at[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-            rows = []
-            for r in range(parts):
-                own = info[info["at"] % parts == r]
-                if len(own) or cut[r] < cut[r + 1]:
-                    s = slice(cut[r], cut[r + 1])
-                    rows.append((name, r, own.tobytes(), _planes(key[s]), at[s].astype("<u2").tobytes()))
-            seq, docs, sets, held = seq + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _BLOCK.types)], schema=_BLOCK)
+            order = np.argsort(flat)
+            flat, at = flat[order], np.repeat(np.arange(len(info), dtype=np.uint16), info["n"])[order]
+            begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+            count = np.diff(np.concatenate((begin, [len(flat)]))).astype("<u2")
+            keys = flat[begin]
+            raw = [info.tobytes(), zlib.compress(count.tobytes(), 1), at.astype("<u2").tobytes()]
+            raw = np.array([len(x) for x in raw], "<i8").tobytes() + b"".join(raw)
+            out = out or open_out(file)
+            out.write(raw)
+            part = _part(keys, parts)
+            used = np.unique(np.concatenate(([0], part.astype(np.int64))))  # part 0 always, as it carries the place
+            lo, hi = np.searchsorted(part, used), np.searchsorted(part, used, side="right")
+            name = (task << 32) + seq
+            rows = [(name, int(r), file if r == 0 else None, place if r == 0 else len(used), len(raw) if r == 0 else None, _planes(keys[x:y]), count[x:y].tobytes()) for r, x, y in zip(used, lo, hi)]
+            place, seq, docs, sets, held = place + len(raw), seq + 1, [], [], 0
+            for k in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 64]), _BLOCK.types)], schema=_BLOCK)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 u = shingles(text.as_py(), width)
-                docs.append((len(docs), doc is not None, doc or 0, len(u), int(u.sum(dtype=np.uint64)), int(_mix(u + _A).sum(dtype=np.uint64))))
+                docs.append((doc is not None, doc or 0, len(u), int(u.sum(dtype=np.uint64)), int(_mix(u + _A).sum(dtype=np.uint64))))
                 sets.append(u)
                 held += len(u)
-                if held >= BATCH_SHINGLES or len(docs) >= BATCH_DOCS:
-                    yield flush()
+                if held >= BATCH_SHINGLES or len(docs) >= most_docs:
+                    yield from flush()
         if docs:
-            yield flush()
+            yield from flush()
+        if out is not None:
+            out.close()
 
     return run
 
 
-_SHARED = pa.schema([("b", pa.string()), ("docs", pa.binary()), ("keys", pa.binary()), ("at", pa.binary())])
+_SHARED = pa.schema([("b", pa.int64()), ("r", pa.int32()), ("file", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("levels", pa.binary()), ("keys", pa.binary())])
+_SHARED_SQL = "b long, r int, file string, place long, size long, levels binary, keys binary"
 
 
 def _by(column: int, batches):
@@ -151,20 +168,22 @@ def _by(column: int, batches):
 
 
 def _count(batches):
-    """Per part: the keys that more than one document has, back to their batches, each as
-    class of its count (8 bits), part (16 bits), key (40 bits)."""
-    for r, rows in _by(1, batches):
-        keys = [_keys(x[3]) for x in rows]
-        flat = np.concatenate(keys)
-        uniq, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        level = np.minimum(255, np.floor(8 * np.log2(np.maximum(count, 1)))).astype(np.uint64)
-        value = (level[inverse] << np.uint64(56)) | np.uint64(r << 40) | flat
-        shared = count[inverse] > 1
+    """Per part: sums of the batches' counts. Back to each batch go a class of the sum for each of its
+    keys (0: one document alone has it) and the keys that are not alone."""
+    for _, rows in _by(1, batches):
+        keys = [_keys(x[5]) for x in rows]
+        flat, count = np.concatenate(keys), np.concatenate([np.frombuffer(x[6], "<u2") for x in rows])
+        level = np.zeros(len(flat), np.uint8)
+        if len(flat):
+            order = np.argsort(flat, kind="stable")  # of sorted runs
+            same = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+            total = np.add.reduceat(count[order].astype(np.int64), np.flatnonzero(same))
+            level[order] = np.minimum(255, np.floor(8 * np.log2(total))).astype(np.uint8)[np.cumsum(same) - 1]
         at = 0
-        for (b, _, docs, _, local), k in zip(rows, keys):
-            s = slice(at, at + len(k))
+        for (b, r, file, place, size, _, _), k in zip(rows, keys):
+            own = level[at : at + len(k)]
             at += len(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((b, docs, value[s][shared[s]].tobytes(), np.frombuffer(local, "<u2")[shared[s]].tobytes()), _SHARED.types)], schema=_SHARED)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((b, r, file, place, size, own.tobytes(), k[own > 0].tobytes()), _SHARED.types)], schema=_SHARED)
 
 
 def least(n: int, percent: int) -> int:
@@ -180,15 +199,26 @@ def _gather(percent: int):
     """Per batch: its documents, with their shared shingles, rarest first, if they can have a partner."""
 
     def run(batches):
-        for _, rows in _by(0, batches):
-            info = np.sort(np.concatenate([np.frombuffer(x[1], _DOC) for x in rows]), order="at")
-            value = np.concatenate([np.frombuffer(x[2], "<u8") for x in rows])
-            at = np.concatenate([np.frombuffer(x[3], "<u2") for x in rows])
-            order = np.lexsort((value, at))
-            value, cut = value[order], np.searchsorted(at[order], np.arange(len(info) + 1))
+        for b, rows in _by(0, batches):
+            _, r, file, place, size, _, _ = rows[0]
+            if r != 0 or any(x[3] != len(rows) for x in rows[1:]):
+                raise ValueError(f"batch {b}: parts are missing")
+            with open_in(file) as f:
+                raw = f.read_at(size, place)
+            cut = 24 + np.cumsum([0, *np.frombuffer(raw, "<i8", 3)])
+            info, count, at = np.frombuffer(raw[cut[0] : cut[1]], _DOC), np.frombuffer(zlib.decompress(raw[cut[1] : cut[2]]), "<u2"), np.frombuffer(raw[cut[2] :], "<u2")
+            level = np.concatenate([np.frombuffer(x[5], np.uint8) for x in rows])
+            key = np.concatenate([np.frombuffer(x[6], "<u8") for x in rows])
+            if len(level) != len(count):
+                raise ValueError(f"batch {b}: counts do not fit its keys")
+            some = level > 0
+            at = at[np.repeat(some, count)]
+            key, level = np.repeat(key, count[some]), np.repeat(level[some], count[some])
+            order = np.lexsort((key, level, at))
+            key, cut = key[order], np.searchsorted(at[order], np.arange(len(info) + 1))
             shared = []
             for k, n in enumerate(info["n"].tolist()):
-                own = value[cut[k] : cut[k + 1]]
+                own = key[cut[k] : cut[k + 1]]
                 alone = n - len(own)
                 shared.append(own.tobytes() if len(own) and alone <= n - least(n, percent) else None)
             ids = pa.array(info["id"], pa.int64(), mask=info["known"] == 0)
@@ -199,26 +229,20 @@ def _gather(percent: int):
     return run
 
 
-def shared_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def shared_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, part_keys: int = PART_KEYS, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """doc_id, n, fingerprint (f1, f2) and ``shared`` (null: no partner is possible)."""
     spark = docs.sparkSession
-    parts = max(1, min(65535, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # blocks are large rows: few of them at a time go to a worker
-    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(limit)
-    spark.conf.set(limit, "64")
-    try:
-        return _exchange(rows, parts, width, percent)
-    finally:
-        spark.conf.set(limit, before)
-
-
-def _exchange(rows: DataFrame, parts: int, width: int, percent: int) -> DataFrame:
-    sent = rows.mapInArrow(_send(parts, width), _BLOCK_SQL)
-    sent = sent.repartition(parts, "r").sortWithinPartitions("r").mapInArrow(_count, "b string, docs binary, keys binary, at binary")
-    back = sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_gather(percent), _SET_SQL)
-    return written(back, "sets")
+    # shingles are at most the words; parts grow with them, so that the keys of one fit in a task
+    length = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(tasks, min(1 << 30, -(-int(length) // (6 * part_keys))))
+    sent = rows.mapInArrow(_send(parts, width, scratch(spark, "batches"), batch_docs), _BLOCK_SQL)
+    # blocks of few parts are large rows: few of them at a time go to a worker
+    with few_rows(spark, min(10_000, 3 * parts)):
+        counted = sent.repartition(tasks, "r").sortWithinPartitions("r", "b").mapInArrow(_count, _SHARED_SQL)
+        back = counted.repartition(tasks, "b").sortWithinPartitions("b", "r").mapInArrow(_gather(percent), _SET_SQL)
+        return written(back, "sets")
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -344,31 +368,65 @@ def _light(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     return keys.join(stars, ["key", "lo", "hi"]).where("a < doc").select("a", F.col("doc").alias("b")).distinct()
 
 
+def _units(sides: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges from ``sides(unit, cross, side, doc_id)``: each unit with its sets in one task."""
+    dealt = sides.join(sets, "doc_id").select("unit", "cross", "side", F.col("doc_id").alias("doc"), "n", "shared")
+    return dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _large(groups: DataFrame, edges: DataFrame, sets: DataFrame, percent: int, weight: int) -> DataFrame:
+    """Edges inside groups that are too heavy for one unit.
+
+    First the candidate stars themselves are checked, which is linear, and what they link is a class.
+    Then sets go to cells by size class (partners are in the same or the next one) and, inside it, to
+    cells of one heavy class each or of several light ones by hash. Pairs of cells of one group and near
+    size classes are compared, but not cells of one and the same class: those are linked already."""
+    stars = edges.join(groups.select(F.col("doc_id").alias("b"), "comp"), "b").select("a", "b")
+    hubs = stars.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("splits"))
+    stars = stars.join(hubs, "a").withColumn("unit", F.concat_ws("-", F.lit("s"), "a", F.pmod(F.xxhash64("b"), F.col("splits"))))
+    heads = stars.select("unit", F.lit(True).alias("cross"), F.lit(0).alias("side"), F.col("a").alias("doc_id")).distinct()
+    linked = written(_units(heads.unionByName(stars.select("unit", F.lit(True).alias("cross"), F.lit(1).alias("side"), F.col("b").alias("doc_id"))), sets, percent), "star-links")
+    classes = components(linked).select(F.col("id").alias("doc_id"), F.col("comp").alias("known"))
+    # n <= m <= n * 100 / percent puts m into the size class of n or the next
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + F.lit(1e-9))
+    rows = written(groups.join(classes, "doc_id", "left").select("doc_id", "comp", "n", "w", F.coalesce("known", "doc_id").alias("known"), size.alias("size")), "group-rows")
+    split = lambda: F.ceil(F.col("w") / F.lit(weight)).cast("int")
+    per = rows.groupBy("comp", "size", "known").agg(F.sum("w").alias("w"))
+    heavy = per.where(F.col("w") > weight).select("comp", "size", "known", split().alias("splits"))
+    light = per.where(F.col("w") <= weight).groupBy("comp", "size").agg(F.sum("w").alias("w")).select("comp", "size", split().alias("shared_splits"))
+    placed = rows.join(heavy, ["comp", "size", "known"], "left").join(light, ["comp", "size"], "left")
+    alone = F.col("splits").isNotNull()
+    cell = F.when(alone, F.concat_ws(".", "size", "known", F.pmod(F.xxhash64("doc_id"), F.col("splits")))).otherwise(F.concat_ws(".", "size", F.lit("all"), F.pmod(F.xxhash64("known"), F.col("shared_splits"))))
+    placed = written(placed.select("doc_id", "comp", "size", cell.alias("cell"), F.when(alone, F.col("known")).alias("solo")), "cells")
+    cells = placed.groupBy("comp", "size", "cell", "solo").agg(F.count("*").alias("c"))
+    left = cells.select("comp", F.explode(F.array("size", F.col("size") + 1)).alias("size"), F.col("size").alias("own"), F.col("cell").alias("i"), F.col("solo").alias("solo_i"), "c")
+    right = cells.select("comp", "size", F.col("cell").alias("j"), F.col("solo").alias("solo_j"))
+    pairs = left.join(right, ["comp", "size"]).where("(size > own or i <= j) and coalesce(solo_i <> solo_j, true) and (i <> j or c > 1)")
+    pairs = pairs.select("comp", "i", "j", (F.col("i") != F.col("j")).alias("cross"), F.concat_ws("-", "comp", "i", "j").alias("unit"))
+    sides = pairs.select("comp", F.col("i").alias("cell"), "unit", "cross", F.lit(0).alias("side")).unionByName(pairs.where("cross").select("comp", F.col("j").alias("cell"), "unit", "cross", F.lit(1).alias("side")))
+    found = _units(placed.select("doc_id", "comp", "cell").join(sides, ["comp", "cell"]).select("unit", "cross", "side", "doc_id"), sets, percent)
+    return linked.unionByName(found)
+
+
 def _heavy(sets: DataFrame, boundary: int, percent: int, weight: int) -> DataFrame:
     """Edges among sets that may have a partner above ``boundary``."""
     big = sets.where(F.col("n") * 100 >= percent * (boundary + 1)).select("doc_id", "n", "shared")
     lists = written(big.mapInArrow(_prefixes(percent), "key long, doc long"), "lists")
     stars = lists.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("key", "a")
-    edges = lists.join(stars, "key").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    edges = written(lists.join(stars, "key").where("a < doc").select("a", F.col("doc").alias("b")).distinct(), "candidates")
     groups = components(edges).withColumnRenamed("id", "doc_id")
     slim = big.select("doc_id", "n", F.greatest(F.octet_length("shared") / 8, F.lit(64)).alias("w")).join(groups, "doc_id")
-    upto = Window.partitionBy("comp").orderBy("n", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = written(slim.select("doc_id", "n", "comp", F.floor(F.coalesce(F.sum("w").over(upto), F.lit(0)) / weight).alias("block")), "blocks")
-    blocks = placed.groupBy("comp", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("c"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    # blocks of a group are sorted by size, so the smallest set of the later and the largest of the earlier decide
-    units = left.join(right, (F.col("l.comp") == F.col("r.comp")) & (F.col("l.block") <= F.col("r.block")) & (F.col("r.n0") * percent <= F.col("l.n1") * 100))
-    units = units.where("l.block < r.block or l.c > 1").select(F.col("l.comp").alias("comp"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
-    units = units.withColumn("cross", F.col("i") != F.col("j")).withColumn("unit", F.concat_ws("-", "comp", "i", "j"))
-    sides = units.select("comp", F.col("i").alias("block"), "unit", "cross", F.lit(0).alias("side")).unionByName(units.where("cross").select("comp", F.col("j").alias("block"), "unit", "cross", F.lit(1).alias("side")))
-    dealt = placed.select("doc_id", "comp", "block").join(sides, ["comp", "block"]).join(big.select("doc_id", "n", "shared"), "doc_id")
-    dealt = dealt.select("unit", "cross", "side", F.col("doc_id").alias("doc"), "n", "shared").repartition("unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(_verify(percent), "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, weight: int = BLOCK_WEIGHT, boundary: int | None = None) -> DataFrame:
+    slim = written(slim, "groups")
+    sums = slim.groupBy("comp").agg((F.sum("w") > weight).alias("large"))
+    light = slim.join(sums.where("not large").select("comp"), "comp")
+    found = _units(light.select(F.concat_ws("-", F.lit("g"), "comp").alias("unit"), F.lit(False).alias("cross"), F.lit(0).alias("side"), "doc_id"), big, percent)
+    large = written(slim.join(sums.where("large").select("comp"), "comp"), "large")
+    return found if large.isEmpty() else found.unionByName(_large(large, edges, big, percent, weight))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, weight: int = BLOCK_WEIGHT, boundary: int | None = None, **exchange: int) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    sets = shared_sets(docs, width, percent)
+    sets = shared_sets(docs, width, percent, **exchange)
     found = sets.where("shared is not null and doc_id is not null")
     classes = written(found.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("first")), "classes")
     one = written(found.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "n", "f1", "f2"]), "one-of-each")

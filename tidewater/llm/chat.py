@@ -13,8 +13,8 @@ that are new in a window are under its loss mask, so each is learned once.
 Defined cases: null texts and roles are empty; a turn above the budget gets a window
 of its own; rows are ordered by turn (nulls first), then role and text, and repeated
 rows are turns each; a null conv_id is a conversation; an empty table gives no rows;
-extra columns are ignored. A conversation of any length is streamed: a task holds the
-turns of one window and its history.
+extra columns are ignored. A conversation of any length, that of all rows without a conv_id
+included, is one task's work but streamed: the task holds the turns of one window and its history.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 BUDGET = 2048
 HISTORY = 256
@@ -206,7 +206,10 @@ def _digests(batches):
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Turns and loss text per conversation, as the formatted windows have them."""
+    """Turns and loss text per conversation, as the formatted windows have them.
+
+    A conversation's windows are digested in order, so they meet in one task, sorted on disk and streamed."""
+    windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return windows.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
 
@@ -214,4 +217,4 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    return read_back(format_chats(turns.unionByName(own)))
+    return read_back(written(format_chats(turns.unionByName(own)), "windows"))

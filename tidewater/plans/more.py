@@ -81,13 +81,57 @@ def q62_both_time_domains(spark, d):
     return counts("ts", "1 day", "event").unionByName(counts("handled", "1 minute", "processing"))
 
 
-@query(None)
+def _recursive(rows: str, state: str, step: str, out: str) -> str:
+    """A fold over each key's rows in order, in SQL: ``rows`` numbers them as x(key, k, us, id); ``state`` is the
+    state after the first and ``step`` after each further row, as columns of s, with the list ``fired`` of what it emits."""
+    return f"""
+, x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, id) AS k, count(*) OVER (PARTITION BY key) AS last FROM ({rows})),
+s AS (SELECT * FROM (WITH RECURSIVE t AS ({state} UNION ALL {step}) SELECT * FROM t))
+{out}
+"""
+
+
+_WINDOW, _TEN = 3_600_000_000, 600_000_000
+_FIRED = "STRUCT(window_end BIGINT, fired_at BIGINT, n BIGINT, n_new BIGINT, cause VARCHAR)"
+
+
+@query(
+    _recursive(
+        "SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS us, event_id AS id FROM e",
+        f"SELECT key, k, last, us - us % {_WINDOW} + {_WINDOW} AS until, CAST(1 AS BIGINT) AS total, CAST(1 AS BIGINT) AS new, us + {_TEN} AS due, CAST([] AS {_FIRED}[]) AS fired FROM x WHERE k = 1",
+        f"""SELECT key, k, last, u3, t3, CASE WHEN n3 >= 3 THEN 0 ELSE n3 END, CASE WHEN n3 >= 3 THEN NULL ELSE coalesce(d3, us + {_TEN}) END,
+                   CAST(list_concat(list_concat(e1, e2), CASE WHEN n3 >= 3 THEN [{{'window_end': u3, 'fired_at': us, 'n': t3, 'n_new': n3, 'cause': 'count'}}] ELSE [] END) AS {_FIRED}[])
+            FROM (SELECT *, CASE WHEN ended THEN us - us % {_WINDOW} + {_WINDOW} ELSE until END AS u3, CASE WHEN ended THEN 0 ELSE total END + 1 AS t3, CASE WHEN ended THEN 0 ELSE n1 END + 1 AS n3, CASE WHEN ended THEN NULL ELSE d1 END AS d3,
+                         CASE WHEN ended THEN [{{'window_end': until, 'fired_at': until, 'n': total, 'n_new': n1, 'cause': 'end'}}] ELSE [] END AS e2
+                  FROM (SELECT *, CASE WHEN early THEN 0 ELSE new END AS n1, CASE WHEN early THEN NULL ELSE due END AS d1,
+                               CASE WHEN early THEN [{{'window_end': until, 'fired_at': due, 'n': total, 'n_new': new, 'cause': 'time'}}] ELSE [] END AS e1
+                        FROM (SELECT x.key, x.k, x.last, x.us, t.until, t.total, t.new, t.due, t.until <= x.us AS ended, coalesce(t.due <= x.us AND t.due < t.until, false) AS early FROM t JOIN x ON x.key = t.key AND x.k = t.k + 1)))""",
+        """, f AS (SELECT key, unnest(fired) AS f FROM s UNION ALL
+      SELECT key, unnest(list_concat(CASE WHEN due < until THEN [{'window_end': until, 'fired_at': due, 'n': total, 'n_new': new, 'cause': 'time'}] ELSE [] END,
+                                     [{'window_end': until, 'fired_at': until, 'n': total, 'n_new': CASE WHEN due < until THEN 0 ELSE new END, 'cause': 'end'}])) FROM s WHERE k = last)
+SELECT key, f.window_end AS window_end, f.fired_at AS fired_at, f.n AS n, f.n_new AS n_new, f.cause AS cause FROM f""",
+    )
+)
 def q63_count_and_time_firings(spark, d):
     """Hour windows of each user: at every 3 rows, 10 minutes after the first since, and at the end."""
     return triggers.count_and_time_windows(log(spark, d), "user_id", F.unix_micros("ts"), "event_id", 3, 600_000_000, 3_600_000_000)
 
 
-@query(None)
+_BATCH = "STRUCT(first_id BIGINT, last_id BIGINT, n BIGINT, cause VARCHAR)"
+
+
+@query(
+    _recursive(
+        "SELECT 't' || category_id AS key, epoch_us(ts) AS us, event_id AS id FROM e",
+        f"SELECT key, k, last, id AS first_id, id AS last_id, CAST(1 AS BIGINT) AS n, us + 43200000000 AS due, CAST([] AS {_BATCH}[]) AS fired FROM x WHERE k = 1",
+        f"""SELECT key, k, last, f1, id, CASE WHEN n1 >= 100 THEN 0 ELSE n1 END, d1,
+                   CAST(CASE WHEN flush THEN [{{'first_id': first_id, 'last_id': last_id, 'n': n, 'cause': 'time'}}] WHEN n1 >= 100 THEN [{{'first_id': f1, 'last_id': id, 'n': n1, 'cause': 'count'}}] ELSE [] END AS {_BATCH}[])
+            FROM (SELECT *, CASE WHEN fresh THEN id ELSE first_id END AS f1, CASE WHEN fresh THEN us + 43200000000 ELSE due END AS d1, CASE WHEN fresh THEN 0 ELSE n END + 1 AS n1
+                  FROM (SELECT x.key, x.k, x.last, x.us, x.id, t.first_id, t.last_id, t.n, t.due, t.n > 0 AND x.us >= t.due AS flush, t.n = 0 OR x.us >= t.due AS fresh FROM t JOIN x ON x.key = t.key AND x.k = t.k + 1))""",
+        """, f AS (SELECT key, unnest(fired) AS f FROM s UNION ALL SELECT key, {'first_id': first_id, 'last_id': last_id, 'n': n, 'cause': 'time'} FROM s WHERE k = last AND n > 0)
+SELECT key, f.first_id AS first_id, f.last_id AS last_id, f.n AS n, f.cause AS cause FROM f""",
+    )
+)
 def q64_table_batches_by_count_or_time(spark, d):
     """Records of each table in batches of 100, or of what came in 12 hours after the first."""
     rows = log(spark, d).withColumn("tbl", F.concat(F.lit("t"), F.col("category_id").cast("string")))

@@ -417,11 +417,13 @@ def _heavy(sets: DataFrame, boundary: int, percent: int, weight: int) -> DataFra
     groups = components(edges).withColumnRenamed("id", "doc_id")
     slim = big.select("doc_id", "n", F.greatest(F.octet_length("shared") / 8, F.lit(64)).alias("w")).join(groups, "doc_id")
     slim = written(slim, "groups")
-    sums = slim.groupBy("comp").agg((F.sum("w") > weight).alias("large"))
+    sums = written(slim.groupBy("comp").agg((F.sum("w") > weight).alias("large")), "group-sums")
     light = slim.join(sums.where("not large").select("comp"), "comp")
     found = _units(light.select(F.concat_ws("-", F.lit("g"), "comp").alias("unit"), F.lit(False).alias("cross"), F.lit(0).alias("side"), "doc_id"), big, percent)
+    if sums.where("large").count() == 0:
+        return found
     large = written(slim.join(sums.where("large").select("comp"), "comp"), "large")
-    return found if large.isEmpty() else found.unionByName(_large(large, edges, big, percent, weight))
+    return found.unionByName(_large(large, edges, big, percent, weight))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, weight: int = BLOCK_WEIGHT, boundary: int | None = None, **exchange: int) -> DataFrame:

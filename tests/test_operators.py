@@ -116,7 +116,7 @@ def test_followed_by_is_linear(spark):
     df = spark.range(200_000).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") % 1000 == 999).alias("hit"))
     began = time.perf_counter()
     got = patterns.followed_by(df, "k", "id", 3, F.col("hit"), "end").agg(F.count("end"), F.sum("end")).first()
-    assert time.perf_counter() - began < 5
+    assert time.perf_counter() - began < 15  # about 2 s; evaluating each frame anew takes many minutes
     ends = [next((e for e in range(i + 3 + (999 - (i + 3)) % 1000, 200_000, 1000)), None) for i in range(200_000)]
     ends = [e for e in ends if e is not None]
     assert tuple(got) == (len(ends), sum(ends))

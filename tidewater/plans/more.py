@@ -54,18 +54,19 @@ def q60_watermark_strategies(spark, d):
     return again.select("event_id", "ascending", "bounded", "punctuated", "latest", "periodic", "reassigned")
 
 
-@query(_MARKS_SQL + """
-, s AS (SELECT behavior, arrival // 200 AS step, max(high) AS mark FROM m WHERE behavior <> 'signup' OR arrival < 20000 GROUP BY 1, 2),
-w AS (SELECT *, lead(step) OVER (PARTITION BY behavior ORDER BY step) AS nxt FROM s),
+@query("""
+, a AS (SELECT user_id, epoch_us(ts) AS us, event_id * 10 + CASE WHEN event_id % 50 = 0 THEN 405 ELSE 0 END AS arrival FROM e),
+m AS (SELECT *, max(us) OVER (PARTITION BY user_id ORDER BY arrival) AS high FROM a),
+s AS (SELECT user_id, arrival // 2000 AS step, max(high) AS mark FROM m GROUP BY 1, 2),
+w AS (SELECT *, lead(step) OVER (PARTITION BY user_id ORDER BY step) AS nxt FROM s),
 g AS (SELECT DISTINCT step FROM s)
-SELECT g.step, min(w.mark) AS mark FROM g LEFT JOIN w ON w.step <= g.step AND g.step < least(coalesce(w.nxt, w.step + 10), w.step + 10) GROUP BY 1
+SELECT g.step, min(w.mark) AS mark FROM g LEFT JOIN w ON w.step <= g.step AND g.step < least(coalesce(w.nxt, w.step + 3), w.step + 3) GROUP BY 1
 """)
 def q61_watermark_with_idle_sources(spark, d):
-    """The least watermark of the sources (behaviours) that are not idle; one of them falls silent."""
-    rows = watermarks.watermark(_in_arrival(spark, d), "behavior", "arrival", "punctuated", "mark")
-    rows = rows.where("behavior <> 'signup' or arrival < 20000")
-    steps = rows.groupBy("behavior", F.floor(F.col("arrival") / 200).alias("step")).agg(F.max("mark").alias("mark"))
-    return watermarks.with_idle(steps, "behavior", "step", "mark", 10)
+    """The least watermark of the sources (users) that are not idle: a source without rows for three steps is."""
+    rows = watermarks.watermark(_in_arrival(spark, d), "user_id", "arrival", "punctuated", "mark")
+    steps = rows.groupBy("user_id", F.floor(F.col("arrival") / 2000).alias("step")).agg(F.max("mark").alias("mark"))
+    return watermarks.with_idle(steps, "user_id", "step", "mark", 3)
 
 
 @query("""

@@ -83,6 +83,7 @@ def mix_rows(docs: DataFrame, columns: list, weights=WEIGHTS, max_epochs=MAX_EPO
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = _met(sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))), filled, ("source",))
     plan = plan.select("source", "bucket", F.col("source_size").cast("long").alias("source_size"), "target", "whole", (F.col("rest") - F.col("before")).alias("left"), "words")
+    plan = written(plan, "mix-plan")  # its size is known then: below the threshold it is broadcast and no text is shuffled
     rows = _met(sizes.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")), plan, ("source", "bucket"))
     inside = F.col("left") > 0
     ends = inside & (F.col("left") < F.col("words"))

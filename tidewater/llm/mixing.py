@@ -82,11 +82,15 @@ def mix_rows(docs: DataFrame, columns: list, weights=WEIGHTS, max_epochs=MAX_EPO
     filled = filled.withColumn("whole", ratio).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = _met(sums.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))), filled, ("source",))
-    plan = plan.select("source", "bucket", F.col("source_size").cast("long").alias("source_size"), "target", "whole", (F.col("rest") - F.col("before")).alias("left"), "words")
-    plan = written(plan, "mix-plan")  # its size is known then: below the threshold it is broadcast and no text is shuffled
-    rows = _met(sizes.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")), plan, ("source", "bucket"))
-    inside = F.col("left") > 0
-    ends = inside & (F.col("left") < F.col("words"))
+    # buckets are taken in order, so a source is told by the first bucket that does not fit and the room there
+    plan = plan.withColumn("left", F.col("rest") - F.col("before"))
+    first = F.min_by(F.struct(F.col("bucket").alias("cut"), F.col("left").alias("room")), F.when(F.col("left") < F.col("words"), F.col("bucket")))
+    plan = plan.groupBy("source").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")])
+    # written, its size is known: a table of sources below the threshold is broadcast, and no text is shuffled
+    plan = written(plan.select("source", F.col("source_size").cast("long").alias("source_size"), "target", "whole", "rest", F.coalesce("first.cut", F.lit(buckets)).alias("cut"), F.coalesce("first.room", F.lit(0.0)).alias("left")), "mix-plan")
+    rows = _met(sizes.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")), plan, ("source",))
+    ends = (F.col("bucket") == F.col("cut")) & (F.col("left") > 0)
+    inside = (F.col("bucket") < F.col("cut")) & (F.col("rest") > 0)
     sure = rows.where(~ends).withColumn("extra", F.when(inside, 1).otherwise(0))
     cut = rows.where(ends)
     order = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

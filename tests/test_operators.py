@@ -2,12 +2,13 @@ import datetime
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalar
 from tidewater.operators import aggregates, changelog, joins, keyed, patterns, windows
-from tidewater.plans import sql
+from tidewater.plans import catalog, sql
 from tidewater.sources import connectors, sinks
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -134,6 +135,22 @@ def test_dynamic_windows_start_at_the_command(spark):
     assert (r.window_start_s, r.window_end_s) == (1704067270, 1704067330)
 
 
+def test_fixed_rate_at_the_borders_of_slots(spark, tmp_path):
+    """The slots of the query's SQL, which rounds to milliseconds and divides towards zero."""
+    border = T0 + 1800 * SECOND
+    early = datetime.datetime(1970, 1, 1)
+    micros = [-1_800_000_000, -1000, -501, -500, -499, -1, 0, 1, 499, 500]
+    times = [at + datetime.timedelta(microseconds=us) for at in (border, early, early - 1800 * SECOND) for us in micros] + [None]
+    rows = [(k, at, 1, "view", 1.0, '{"k": 1}') for k, at in enumerate(times)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = catalog.queries()["q26_tps_fixed_carry"](spark, str(tmp_path)).select("behavior", "slot", "cnt", "carried", "rate").collect()
+    want = con.sql(catalog.oracle_sql()["q26_tps_fixed_carry"]).project("behavior, slot, cnt, carried, rate").fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_change_records(spark):
     good = '{"db":"d","table":"t","operator_type":"d","pos":3,"before":{"id":"1","x":null},"after":null}'
     rows = spark.createDataFrame([(good,), ("{broken",), ('{"historyRecord":"create"}',), (None,)], "raw string")

@@ -31,6 +31,12 @@ def month0(ts: Column) -> Column:
     return F.month(ts) - 1
 
 
+def rounded_millis(ts: Column) -> Column:
+    """Epoch milliseconds, the nearest; halves away from zero."""
+    us = F.unix_micros(ts)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Whole days of 24 hours between two instants, towards zero."""
     diff = F.unix_millis(end) - F.unix_millis(start)

@@ -124,3 +124,13 @@ def test_parts_are_ranges():
 def test_boundary_by_cost():
     assert nj.choose_boundary([(5, 5, 100), (8, 8, 100)], 85) >= 8
     assert nj.choose_boundary([]) == 0
+
+
+def test_what_other_operators_keep_is_dropped(spark):
+    """A worker that goes from one operator to the join keeps nothing of the former."""
+    from tidewater.llm import common
+
+    common.held(("other",), lambda: "model")
+    with pytest.raises(AttributeError):  # no task here, so the documents are not reached
+        next(nj._send(4, 5, "unused", 8)(iter([])))
+    assert not common._held

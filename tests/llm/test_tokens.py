@@ -1,5 +1,6 @@
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -116,3 +117,24 @@ def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
     assert [tuple(r) for r in tokens.op10_token_binary(spark, sf).orderBy("start").collect()] == expected(rows)
+
+
+def test_remembered_chunks_stay_small():
+    """A worker that has seen 900,000 different chunks keeps less than 80 MB of them."""
+    enc = tokens.Encoder(PATH)
+    enc._code = lambda chunks: enc.known.update((c, c[:4] * 2) for c in chunks)
+    for k in range(0, 900_000, 5000):
+        enc.ids([" ".join(f"w{i}q" for i in range(k, k + 5000))])
+    kept = [enc.known, getattr(enc, "older", {})]
+    assert sum(sys.getsizeof(d) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in d.items()) for d in kept) < 80e6
+
+
+def test_frequent_chunks_are_coded_once(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 400)
+    enc, coded, code = tokens.Encoder(PATH), [], None
+    code = enc._code
+    enc._code = lambda chunks: (coded.extend(chunks), code(chunks))
+    texts = [" ".join(["often,", "Seen", *(f"rare{k}x{i}" for i in range(60))]) for k in range(30)]
+    got = [enc.ids([t])[0] for t in texts]
+    assert got == [x[:-1].tobytes() for x in library(texts)]
+    assert [coded.count(c) for c in (b"often", b"seen", b",")] == [1, 1, 1]

@@ -115,3 +115,11 @@ def test_odd_rows(spark):
     assert toxicity.score_ids(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).collect() == []
     kept = toxicity.clean(docs, model)
     assert kept.schema == docs.schema and kept.count() == 4
+
+
+def test_remembered_words_stay_few():
+    scorer = toxicity.Scorer(np.zeros(toxicity.BUCKETS, np.float32), 0.0)
+    scorer._learn = lambda chunks: scorer.known.update(dict.fromkeys(chunks, 0.0))
+    for k in range(0, 500_000, 5000):
+        scorer.scores([" ".join(f"w{i}" for i in range(k, k + 5000))])
+        assert len(scorer.known) <= 200_000

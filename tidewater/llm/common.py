@@ -185,3 +185,8 @@ def held(key: tuple, make):
         _held.clear()
         _held.update(key=key, it=make())
     return _held["it"]
+
+
+def release() -> None:
+    """Drops what the worker process keeps, for an operator that keeps nothing and needs the memory."""
+    _held.clear()

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, few_rows, scratch, table, union_find, written
+from .common import components, few_rows, release, scratch, table, union_find, written
 from .files import open_in, open_out
 
 #: Near duplicates: shingles of five words, Jaccard of 80 % or more. The query ``op2`` has its own.
@@ -107,6 +107,7 @@ def _send(parts: int, width: int, folder: str, most_docs: int):
     def run(batches):
         from pyspark import TaskContext
 
+        release()
         task = TaskContext.get().partitionId()
         file = f"{folder}/batches-{task:06d}-{uuid.uuid4().hex[:12]}"
         out, place, seq, docs, sets, held = None, 0, 0, [], [], 0

@@ -33,15 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import held, scratch, table, written
+from .common import few_rows, held, scratch, table, written
 from .files import open_in, open_out
 
 MAGIC = b"TWRANS1\n"
 #: Ids after which a shard is closed.
 SHARD_IDS = 4_000_000
-#: Distinct chunks that a worker remembers before it starts anew.
-CACHE = 1_000_000
+#: Distinct chunks that a worker remembers, in two generations (about 200 bytes each; an executor has a worker for each core).
+CACHE = 300_000
 END_ID = 1
+#: Rows that a worker gets at a time.
+WRITE_ROWS = 1024
 #: Blocks that one task decodes at a time when shards are read back.
 UNIT_BLOCKS = 4
 _MARKS = string.punctuation.encode()
@@ -87,6 +89,18 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _unknown(self, chunks) -> list[bytes]:
+        """Those that neither generation has; what the older one has of them comes to the younger."""
+        known, older, out = self.known, self.older, []
+        for c in chunks:
+            if c not in known:
+                if (ids := older.get(c)) is None:
+                    out.append(c)
+                else:
+                    known[c] = ids
+        return out
 
     def _learn(self, chunks: list[bytes]) -> None:
         """A chunk that ends in ASCII marks after a letter or digit has the ids of its two pieces,
@@ -100,7 +114,7 @@ class Encoder:
             else:
                 need.add(c)
         known = self.known
-        self._code([c for c in need if c not in known])
+        self._code(self._unknown(need))
         for c, base in marked:
             known[c] = known[base] + known[c[len(base) :]]
 
@@ -140,10 +154,10 @@ class Encoder:
             else:
                 split[k] = (raw if _COMPOSED.search(raw) else low).split()
         new = set().union(*split.values()).difference(self.known) if split else set()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+        if len(self.known) + len(new) > CACHE // 2:
+            self.older, self.known = self.known, {}
             new = set().union(*split.values())
-        self._learn(list(new))
+        self._learn(self._unknown(new))
         known = self.known.__getitem__
         for k, words in split.items():
             out[k] = b"".join(map(known, words))
@@ -286,7 +300,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_id
     key = F.xxhash64("text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), key).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key)
     shards = rows.mapInArrow(_writer(folder, tokenizer, end_id, shard_ids), "part long, seq long, path string, n_docs long, n_ids long, n_bytes long")
-    shards = written(shards, "manifest")
+    with few_rows(spark, WRITE_ROWS):
+        shards = written(shards, "manifest")
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return shards.withColumn("first", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
 

@@ -38,7 +38,8 @@ WINDOW, STRIDE = 12, 6
 MAX_TOXIC, MAX_CLEAN = 1500, 4000
 #: Words of labelled documents after which training reads no further one (four bytes each on the driver).
 MAX_WORDS = 24_000_000
-CACHE = 600_000
+#: Words whose scores a worker remembers before it starts anew.
+CACHE = 200_000
 #: Words seen in fewer labelled documents teach nothing but that document's label.
 MIN_DOCS = 3
 _TRIM = string.punctuation.encode()

@@ -69,3 +69,27 @@ def test_where_scratch_is(spark):
     assert own.startswith("file:///") and own.rpartition("/")[0] == at("local", None).rpartition("/")[0]
     with pytest.raises(RuntimeError):
         at("spark://h:1", None)
+
+
+def test_texts_go_to_the_workers_once(spark):
+    """A text of another type follows as a string; names that clash or have dots stay apart."""
+    rows, schema, at = common.with_text(spark.createDataFrame([(1, "x", 2)], "doc_id long, text string, `a.b` int"))
+    assert (rows.columns, schema.names, at) == (["c0", "c1", "c2"], ["c0", "c1", "c2"], 1)
+    rows, schema, at = common.with_text(spark.createDataFrame([(7, 5, 6)], "text int, n long, `a.b` long"))
+    assert (rows.columns, schema.names, at) == (["c0", "c1", "c2", "t"], ["c0", "c1", "c2"], 3)
+    assert [tuple(r) for r in rows.collect()] == [(7, 5, 6, "7")]
+
+
+def test_rows_come_back_in_small_batches():
+    import pyarrow as pa
+
+    from tidewater.llm import decontam
+
+    class Shared:
+        id_, value = "test", {" bad word ": ["1"]}
+
+    texts = ["good words", "a bad word here", None] * 700
+    batch = pa.RecordBatch.from_pydict({"c0": list(range(2100)), "c1": texts, "t": texts})
+    out = list(decontam._free(Shared, 1, 2)([batch]))
+    assert max(b.num_rows for b in out) <= 512 and out[0].schema.names == ["c0", "c1"]
+    assert [x for b in out for x in b.column(0).to_pylist()] == [k for k in range(2100) if k % 3 != 1]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Words as the deduplication and mixing operators count them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,12 +71,20 @@ def columns_of(df: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def with_text_first(df: DataFrame) -> tuple[DataFrame, StructType]:
-    """(the text as ``t`` and then the columns of ``df`` as c0, c1, ...; the schema of the latter), for Arrow
-    functions that pass rows on: they look columns up by name, so clashing or dotted names can't go in."""
+def with_text(df: DataFrame) -> tuple[DataFrame, StructType, int]:
+    """(the columns of ``df`` as c0, c1, ...; their schema; the place of the text), for Arrow functions that
+    pass rows on: they look columns up by name, so clashing or dotted names can't go in. The text goes to the
+    workers once; only if it is no string by itself does it follow the others as one more column."""
     named = [c.alias(f"c{k}") for k, c in enumerate(columns_of(df))]
     schema = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(df.schema.fields)])
-    return df.select(F.col("text").cast("string").alias("t"), *named), schema
+    found = [k for k, c in enumerate(df.columns) if c.lower() == "text"]
+    if len(found) == 1 and df.columns[found[0]] == "text" and df.schema.fields[found[0]].dataType == StringType():
+        return df.select(*named), schema, found[0]
+    return df.select(*named, F.col("text").cast("string").alias("t")), schema, len(named)
+
+
+#: Rows of a batch that a worker handles, and hands back, at a time.
+SLICE = 512
 
 
 @contextmanager

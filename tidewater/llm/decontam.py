@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, scratch, table, with_text_first, written
+from .common import SLICE, held, scratch, table, with_text, written
 
 #: Characters of item text for which one automaton is built (about 4 million states of a worker's
 #: memory); a larger benchmark is scanned in passes that follow one another.
@@ -153,15 +153,18 @@ def _chained(*steps):
     return run
 
 
-def _free(shared):
+def _free(shared, at: int, columns: int):
+    """The first ``columns`` of the rows whose text, the column ``at``, has no window."""
+
     def run(batches):
         auto = _automaton(shared)
         for batch in batches:
-            clear = []
-            for text in batch.column(0).to_pylist():
-                w = words_of(text)
-                clear.append(not (w and len(auto)) or next(auto.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is None)
-            yield batch.select(list(range(1, batch.num_columns))).filter(pa.array(clear, pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE):
+                some, clear = batch.slice(lo, SLICE), []
+                for text in some.column(at).to_pylist():
+                    w = words_of(text)
+                    clear.append(not (w and len(auto)) or next(auto.iter((b" " + b" ".join(w) + b" ").decode("latin-1")), None) is None)
+                yield some.select(list(range(columns))).filter(pa.array(clear, pa.bool_()))
 
     return run
 
@@ -205,8 +208,8 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, pass_char
     """The rows of ``docs`` without any window of the benchmark, with all their columns; no shuffle."""
     cur = docs
     for shared, last in _passes(docs.sparkSession, benchmark, n, pass_chars):
-        rows, schema = with_text_first(cur)
-        cur = rows.mapInArrow(_free(shared), schema).toDF(*docs.columns)
+        rows, schema, at = with_text(cur)
+        cur = rows.mapInArrow(_free(shared, at, len(schema)), schema).toDF(*docs.columns)
         if last:
             return cur
         cur = written(cur, "scanned")

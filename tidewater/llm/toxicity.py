@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table, with_text_first
+from .common import SLICE, held, table, with_text
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -235,14 +235,16 @@ class Scorer:
         return out
 
 
-def _scoring(key: str, model, name: str = "score__"):
+def _scoring(key: str, model, name: str = "score__", text: int = 0, first: int = 1):
+    """The columns from ``first`` on and the score of the text, which is the column ``text``."""
+
     def run(batches):
         scorer = held(("scorer", key), lambda: Scorer(*model.value))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                scores = scorer.scores(some.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(scores, pa.float64())], names=[*some.schema.names[1:], name])
+            for at in range(0, batch.num_rows, SLICE):
+                some = batch.slice(at, SLICE)
+                scores = scorer.scores(some.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*some.columns[first:], pa.array(scores, pa.float64())], names=[*some.schema.names[first:], name])
 
     return run
 
@@ -269,14 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scoring = _scoring(uuid.uuid4().hex, shared)
+    rows, schema, text = with_text(docs)
+    scoring, columns = _scoring(uuid.uuid4().hex, shared, text=text, first=0), list(range(len(schema)))
 
     def run(batches):
         for batch in scoring(batches):
-            last = batch.num_columns - 1
-            yield batch.filter(pc.less(batch.column(last), threshold)).select(list(range(last)))
+            yield batch.filter(pc.less(batch.column(batch.num_columns - 1), threshold)).select(columns)
 
-    rows, schema = with_text_first(docs)
     return rows.mapInArrow(run, schema).toDF(*docs.columns)
 
 

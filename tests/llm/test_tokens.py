@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,3 +139,39 @@ def test_frequent_chunks_are_coded_once(monkeypatch):
     got = [enc.ids([t])[0] for t in texts]
     assert got == [x[:-1].tobytes() for x in library(texts)]
     assert [coded.count(c) for c in (b"often", b"seen", b",")] == [1, 1, 1]
+
+
+def test_marks_take_no_room_from_words(monkeypatch):
+    """Words that come back with other marks are remembered once, without them."""
+    monkeypatch.setattr(tokens, "CACHE", 400)
+    enc, coded = tokens.Encoder(PATH), []
+    code = enc._code
+    enc._code = lambda chunks: (coded.extend(chunks), code(chunks))
+    texts = [" ".join(f"{kind}{k}x{mark}" for k in range(90)) for mark in (",", ".", "", "!") for kind in ("some", "Other")]
+    got = [enc.ids([t])[0] for t in texts]
+    assert got == [x[:-1].tobytes() for x in library(texts)]
+    assert len(coded) == len(set(coded)) == 183
+
+
+def test_texts_split_together():
+    """Texts of one run do not touch each other, and those that can't be split keep their place."""
+    texts = ["A", "\u0301b, c.", None, "H", "<|ENDOFTEXT|> it's", "", ".", "x" * 5000, "\u0331 J\u030c. Den", " a,\tb!?\x0bc\x1c,d ", "<|endoftext|>", "-", "e-.", "é, É."]
+    ids, sizes = tokens.Encoder(PATH).coded(texts)
+    want = [x[:-1] for x in library(texts)]
+    assert sizes.tolist() == [len(x) for x in want]
+    assert ids.tolist() == [i for x in want for i in x.tolist()]
+
+
+def test_words_of_groups_that_the_library_parts_otherwise():
+    """Letters that composition or lower case takes apart spoil their group of words only."""
+    words = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    words[40:40] = ["\u0130x", "\uac00\u0301", "x\u0130"]
+    got = tokens.Encoder(PATH).ids([w for w in words] + [" ".join(words)])
+    assert got == [x[:-1].tobytes() for x in library([w for w in words] + [" ".join(words)])]
+
+
+def test_runs_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(tokens, "SPLIT_BYTES", 10)
+    texts = ["a" * 4, "b" * 6, None, "c" * 30, "", "d" * 3, "é" * 4, "e"]
+    runs = [r.column(1).to_pylist() for r in tokens._runs(pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["doc_id", "text"]))]
+    assert runs == [texts[:3], texts[3:4], texts[4:6], texts[6:]]

@@ -26,9 +26,11 @@ import re
 import string
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ END_ID = 1
 WRITE_ROWS = 1024
 #: Blocks that one task decodes at a time when shards are read back.
 UNIT_BLOCKS = 4
+#: Bytes of text that the encoder splits at a time; a longer text goes alone.
+SPLIT_BYTES = 1 << 21
 _MARKS = string.punctuation.encode()
+_MARK, _ALNUM, _SPACE = (np.isin(np.arange(256), list(x)) for x in (_MARKS, (string.ascii_letters + string.digits).encode(), b" \t\n\r\x0b\x0c"))
 #: A capital that a combining mark may follow: the library composes before it lowers the case, and
 #: not all capitals compose as their small letters do, so such texts are not put in lower case here.
 _COMPOSED = re.compile(rb"[A-Z][\x80-\xff]")
@@ -102,19 +107,36 @@ class Encoder:
                     known[c] = ids
         return out
 
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks. Only those that the younger generation lacks are put into it, so that a
+        full one is followed by one that begins with what is new to it."""
+        found = list(map(self.known.get, chunks))
+        lack = [k for k, ids in enumerate(found) if ids is None]
+        if lack:
+            older = {c: ids for k in lack if (ids := self.older.get(c := chunks[k])) is not None}
+            if len(self.known) + len(lack) > CACHE // 2:
+                self.older, self.known = self.known, {}
+            self.known.update(older)
+            self._learn([c for k in lack if (c := chunks[k]) not in older])
+            for k in lack:
+                found[k] = self.known[chunks[k]]
+        return found
+
     def _learn(self, chunks: list[bytes]) -> None:
-        """A chunk that ends in ASCII marks after a letter or digit has the ids of its two pieces,
+        """Puts distinct chunks that neither generation has into the younger one.
+
+        A chunk that ends in ASCII marks after a letter or digit has the ids of its two pieces,
         which the splitting pattern parts anyway; so ``word,`` and ``word.`` are coded once."""
-        marked, need = [], set()
+        marked, plain, pieces = [], [], set()
         for c in chunks:
             base = c.rstrip(_MARKS)
-            if base and len(base) < len(c) and _ends_in_letter(base):
+            if len(base) < len(c) and base and _ends_in_letter(base):
                 marked.append((c, base))
-                need.update((base, c[len(base) :]))
+                pieces.update((base, c[len(base) :]))
             else:
-                need.add(c)
+                plain.append(c)
         known = self.known
-        self._code(self._unknown(need))
+        self._code(plain + self._unknown(pieces.difference(plain)))
         for c, base in marked:
             known[c] = known[base] + known[c[len(base) :]]
 
@@ -122,46 +144,81 @@ class Encoder:
         """Words of letters go to the library joined by spaces: each has one id that ends a
         word. A group that has another number of such ids is coded chunk by chunk."""
         texts = [c.decode() for c in chunks]
-        single = [k for k, t in enumerate(texts) if not t.isalpha()]
-        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        words, single = [], []
+        for k, t in enumerate(texts):
+            (words if t.isalpha() else single).append(k)
         for a in range(0, len(words), 2048):
             groups = [words[k : k + 32] for k in range(a, min(a + 2048, len(words)), 32)]
-            found = self.tok.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False)
-            for group, e in zip(groups, found):
-                ids = np.array(e.ids, np.uint32)
-                cut = np.flatnonzero(self.ends[ids]) + 1
-                if len(cut) != len(group) or cut[-1] != len(ids):
-                    single += group
-                    continue
-                raw, at = ids.tobytes(), 0
-                for k, b in zip(group, cut.tolist()):
-                    self.known[chunks[k]] = raw[4 * at : 4 * b]
-                    at = b
+            found = self.tok.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False)
+            found = [e.ids for e in found]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum())
+            ends, stop = np.append(False, self.ends[ids]), np.cumsum(sizes)
+            good = ends[stop] & (np.diff(np.cumsum(ends)[stop], prepend=0) == np.fromiter(map(len, groups), np.int64, len(groups)))
+            for group in (groups[k] for k in np.flatnonzero(~good)):
+                single += group
+            kept = np.repeat(good, sizes)
+            raw, cuts = ids[kept].tobytes(), (4 * np.flatnonzero(ends[1:][kept]) + 4).tolist()
+            for k, x, y in zip((k for g, whole in zip(groups, good.tolist()) if whole for k in g), [0, *cuts], cuts):
+                self.known[chunks[k]] = raw[x:y]
         for a in range(0, len(single), 2048):
             part = single[a : a + 2048]
             for k, e in zip(part, self.tok.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
                 self.known[chunks[k]] = np.array(e.ids, np.uint32).tobytes()
 
+    def _split(self, raws: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(distinct chunks, which of them the texts are, one after the other, how many each text has).
+
+        One ASCII mark after an ASCII letter or digit at the end of a chunk is a chunk of its own (see ``_learn``)."""
+        sizes = np.array([len(r) + 1 for r in raws])
+        joined = b"\n".join([*raws, b""])
+        raw, ends = np.frombuffer(joined, np.uint8), np.cumsum(sizes)
+        text = np.frombuffer(bytearray(joined.lower()), np.uint8)
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero((raw[1:] >= 0x80) & (raw[:-1] - 65 < 26)), "right")):
+            text[ends[k] - sizes[k] : ends[k]] = raw[ends[k] - sizes[k] : ends[k]]
+        space = _SPACE[text]
+        edges = np.flatnonzero(np.diff(space, prepend=True))
+        start, stop = edges[::2], edges[1::2]
+        marked = _MARK[text[stop - 1]] & _ALNUM[text[stop - 2]] & (stop - start > 1)
+        n = 1 + marked
+        first = (np.cumsum(n) - n)[marked]
+        start, stop = np.repeat(start, n), np.repeat(stop, n)
+        stop[first] -= 1
+        start[first + 1] = stop[first]
+        at = np.concatenate(([0], np.cumsum(stop - start))).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(text[~space])]).dictionary_encode()
+        count = np.diff(np.searchsorted(stop, ends, "right"), prepend=0)
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), count
+
+    def coded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each text has)."""
+        raws = [(text or "").encode() for text in texts]
+        whole = {}
+        low = b"\n".join(raws).lower()
+        odd = not self.chunked or any(m in low for m in self.marks)
+        for k, raw in enumerate(raws) if odd else ():
+            if not self.chunked or any(m in raw.lower() for m in self.marks):
+                whole[k] = np.array(self.tok.encode_batch_fast([texts[k] or ""], add_special_tokens=False)[0].ids, np.uint32)
+                raws[k] = b""
+        chunks, which, count = self._split(raws)
+        found = self._found(chunks)
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin = (np.cumsum(size) - size)[which]
+        size = size[which]
+        stop = np.cumsum(size)
+        ids = pool[np.repeat(begin - (stop - size), size) + np.arange(size.sum())]
+        ends = np.concatenate(([0], stop))[np.cumsum(count)]
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            parts = [whole.get(k, part) for k, part in enumerate(parts)]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, np.diff(ends, prepend=0)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[bytes]] = {}
-        for k, text in enumerate(texts):
-            raw = (text or "").encode()
-            low = raw.lower()
-            if not self.chunked or any(m in low for m in self.marks):
-                out[k] = np.array(self.tok.encode_batch_fast([text or ""], add_special_tokens=False)[0].ids, np.uint32).tobytes()
-            else:
-                split[k] = (raw if _COMPOSED.search(raw) else low).split()
-        new = set().union(*split.values()).difference(self.known) if split else set()
-        if len(self.known) + len(new) > CACHE // 2:
-            self.older, self.known = self.known, {}
-            new = set().union(*split.values())
-        self._learn(self._unknown(new))
-        known = self.known.__getitem__
-        for k, words in split.items():
-            out[k] = b"".join(map(known, words))
-        return out
+        ids, sizes = self.coded(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 def encoder(path: str) -> Encoder:
@@ -254,33 +311,45 @@ def read_shard(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 _MANIFEST = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
 
 
+def _runs(batch: pa.RecordBatch):
+    """Runs of rows with at most ``SPLIT_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        past = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, past + SPLIT_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _writer(folder: str, tokenizer: str, end_id: int, shard_ids: int):
     def run(batches):
         from pyspark import TaskContext
 
         enc, part, attempt = encoder(tokenizer), TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.uint32)
         docs, lengths, coded, n, seq = [], [], [], 0, 0
 
         def flush():
             path = f"{folder}/shard-{part:06d}-{seq:05d}-{attempt}.rans"
-            raw = shard_bytes(docs, lengths, np.frombuffer(b"".join(coded), np.uint32))
+            raw = shard_bytes(docs, lengths, np.concatenate(coded))
             with open_out(path) as f:
                 f.write(raw)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, path, len(docs), n, len(raw)), _MANIFEST.types)], schema=_MANIFEST)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, raw in zip(some.column(0).to_pylist(), enc.ids(some.column(1).to_pylist())):
-                    size = len(raw) // 4 + 1
-                    if n and n + size > shard_ids:
+            for some in _runs(batch):
+                ids, sizes = enc.coded(some.column(1).to_pylist())
+                at = 0
+                for doc, size in zip(some.column(0).to_pylist(), sizes.tolist()):
+                    if n and n + size + 1 > shard_ids:
                         yield flush()
                         docs, lengths, coded, n, seq = [], [], [], 0, seq + 1
                     docs.append(doc)
-                    lengths.append(size)
-                    coded += (raw, end)
-                    n += size
+                    lengths.append(size + 1)
+                    coded += (ids[at : at + size], end)
+                    at += size
+                    n += size + 1
         if n:
             yield flush()
 
